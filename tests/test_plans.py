@@ -1,0 +1,101 @@
+"""Physical plans: bounds reach the scan, columns are pruned, days are pruned, no Python
+worker runs, and the long report scans the input twice (once when persisted)."""
+
+from __future__ import annotations
+
+import pytest
+
+import __spark_entry__ as E
+from transitlens import (
+    clock_window,
+    full_report,
+    line_mean,
+    load_event_pings,
+    load_partitioned,
+    load_pings,
+    slower_than,
+    speed_stats,
+    write_partitioned,
+)
+from transitlens.plans.inspect import plan_text, python_nodes, scan_count, scan_fields
+from transitlens.session import scratch_path
+from transitlens.sources.text import to_lines
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def text_pings(spark):
+    path = scratch_path(spark, "plan-text")
+    to_lines(load_event_pings(spark, SF, clean=False)).write.text(path)
+    return load_pings(spark, path)
+
+
+@pytest.fixture(scope="module")
+def parquet_pings(spark, text_pings):
+    path = write_partitioned(text_pings, scratch_path(spark, "plan-parquet"))
+    return load_partitioned(spark, path)
+
+
+def test_csv_scan_gets_box_and_speed_bounds(text_pings):
+    df = slower_than(text_pings, 10, box=E.BOX)
+    pushed = " ".join(scan_fields(df, "PushedFilters"))
+    for bound in ("LessThan(longitude,-43.2)", "GreaterThan(longitude,-43.4)",
+                  "LessThan(latitude,-22.8)", "GreaterThan(latitude,-23.0)",
+                  "LessThanOrEqual(speed,120.0)", "LessThan(speed,10.0)"):
+        assert bound in pushed
+    (schema,) = scan_fields(df, "ReadSchema")
+    assert "bus_id" not in schema
+
+
+def test_parquet_scan_prunes_days_and_pushes_time(parquet_pings):
+    df = line_mean(parquet_pings, box=E.BOX, window=E.WINDOW)
+    (parts,) = scan_fields(df, "PartitionFilters")
+    assert "service_date" in parts and "2024-01-05" in parts and "2024-01-19" in parts
+    pushed = " ".join(scan_fields(df, "PushedFilters"))
+    assert "GreaterThan(datetime,2024-01-05T00:00)" in pushed
+    assert "LessThan(datetime,2024-01-20T00:00)" in pushed
+    (schema,) = scan_fields(df, "ReadSchema")
+    assert "bus_id" not in schema
+
+
+def test_parquet_results_equal_text_results(text_pings, parquet_pings):
+    a = speed_stats(text_pings, box=E.BOX, window=E.DAY_CLOCK).first()
+    b = speed_stats(parquet_pings, box=E.BOX, window=E.DAY_CLOCK).first()
+    assert a.min_speed == b.min_speed and a.max_speed == b.max_speed
+    assert a.mean_speed == pytest.approx(b.mean_speed, rel=1e-12)
+    assert a.variance_speed == pytest.approx(b.variance_speed, rel=1e-12)
+
+
+def test_clock_extent_reads_no_columns_on_partitioned_layout(spark, text_pings, parquet_pings):
+    assert clock_window(parquet_pings, "08:00:00", "17:00:00") == clock_window(
+        text_pings, "08:00:00", "17:00:00"
+    )
+    from pyspark.sql import functions as F
+
+    df = parquet_pings.agg(F.min("service_date"), F.max("service_date"))
+    assert scan_fields(df, "ReadSchema") == ["struct<>"]
+
+
+def test_no_python_in_any_registered_query(spark):
+    qs = E.queries()
+    for name in ("box_filter", "line_mean_box_window", "speed_stats_window", "slow_box",
+                 "report_all", "preview_top20", "time_extent"):
+        assert python_nodes(qs[name](spark, SF)) == [], name
+
+
+def test_aggregates_are_partial_then_final(text_pings):
+    text = plan_text(line_mean(text_pings, box=E.BOX))
+    assert "partial_avg" in text and "hashpartitioning(bus_line" in text
+
+
+def test_long_report_scans_twice_or_once_when_persisted(text_pings):
+    args = (E.BOX, E.DAY1, E.DAY2, E.CLOCK1, E.CLOCK2, E.YEAR, E.MONTH)
+    assert scan_count(full_report(text_pings, *args).long()) == 2
+    with full_report(text_pings, *args, persist=True) as rep:
+        long = rep.long()
+        # Both branches read the cache; the one file scan shown is the cache's own build.
+        assert scan_count(long) == 1
+        assert plan_text(long).count("Scan In-memory table") + plan_text(long).count(
+            "InMemoryTableScan"
+        ) >= 2

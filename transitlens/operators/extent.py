@@ -7,6 +7,7 @@ from datetime import date, datetime, time
 from pyspark.sql import DataFrame, functions as F
 
 from transitlens.functions.predicates import TimeWindow
+from transitlens.schema import SERVICE_DATE
 
 CLOCK_FORMAT = "%H:%M:%S"
 
@@ -42,15 +43,30 @@ def clock_window(pings: DataFrame, clock_start: str | time, clock_end: str | tim
     still gets its bounds pushed down to the scan. Empty input gives an empty window.
     """
     start_clock, end_clock = parse_clock(clock_start), parse_clock(clock_end)
-    row = time_extent(pings).first()
-    first, last = (row[0], row[1]) if row is not None else (None, None)
-    if first is None or last is None:
+    first_day, last_day = extent_days(pings)
+    if first_day is None or last_day is None:
         return TimeWindow.empty()
     return TimeWindow(
-        datetime.combine(first.date(), start_clock), datetime.combine(last.date(), end_clock)
+        datetime.combine(first_day, start_clock), datetime.combine(last_day, end_clock)
     )
 
 
+def extent_days(pings: DataFrame) -> tuple[date | None, date | None]:
+    """First and last calendar day of the data (one single-row job).
+
+    On the day-partitioned layout the day is the partition column, which equals the date
+    of ``datetime``; aggregating it reads no column data at all (Parquet footers only).
+    """
+    if SERVICE_DATE in pings.columns:
+        day = F.col(SERVICE_DATE)
+        row = pings.agg(F.min(day), F.max(day)).first()
+        return (row[0], row[1]) if row is not None else (None, None)
+    row = time_extent(pings).first()
+    if row is None or row[0] is None or row[1] is None:
+        return None, None
+    return row[0].date(), row[1].date()
+
+
 def day_window(day1: int | str, day2: int | str, year: int = 2014, month: int = 10) -> TimeWindow:
     """Midnight of ``day1`` to midnight of ``day2`` in ``year``-``month`` (open interval:
     midnight of day 1 and all of day 2 are outside; equal days select nothing)."""
