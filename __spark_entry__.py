@@ -73,14 +73,32 @@ def _round(df: DataFrame) -> DataFrame:
     )
 
 
+_PLANS: dict[tuple[int, str, bool], tuple[SparkSession, DataFrame]] = {}
+
+
+def _event_pings(spark: SparkSession, sf_dir: str, clean: bool = True) -> DataFrame:
+    """The derived ping table, planned once per session and folder.
+
+    Only the lazy plan is kept (no data is cached): a DataFrame is immutable, so every
+    query can start from the same analysed plan instead of listing files and re-analysing
+    the derivation each time.
+    """
+    key = (id(spark), sf_dir, clean)
+    hit = _PLANS.get(key)
+    if hit is None or hit[0] is not spark:
+        hit = (spark, load_event_pings(spark, sf_dir, clean=clean))
+        _PLANS[key] = hit
+    return hit[1]
+
+
 def _pings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_event_pings(spark, sf_dir)
+    return _event_pings(spark, sf_dir)
 
 
 def _text_copy(spark: SparkSession, sf_dir: str, name: str) -> str:
     """Write the raw derived pings as headerless comma text into the shared scratch folder."""
     path = scratch_path(spark, name)
-    to_lines(load_event_pings(spark, sf_dir, clean=False)).write.text(path)
+    to_lines(_event_pings(spark, sf_dir, clean=False)).write.text(path)
     return path
 
 
@@ -96,9 +114,7 @@ def _ts_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scan_day_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = write_day_files(
-        load_event_pings(spark, sf_dir, clean=False), scratch_path(spark, "day-files")
-    )
+    base = write_day_files(_event_pings(spark, sf_dir, clean=False), scratch_path(spark, "day-files"))
     return load_pings(spark, day_paths(base + "/day=%Y-%m-%d", *DAY_FILES))
 
 
@@ -120,7 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scan_parse": _scan_parse,
         "ts_compose": _ts_compose,
         "scan_day_union": _scan_day_union,
-        "outlier_filter": lambda spark, d: drop_outliers(load_event_pings(spark, d, clean=False)),
+        "outlier_filter": lambda spark, d: drop_outliers(_event_pings(spark, d, clean=False)),
         "box_filter": _with_pings(lambda p: restrict(p, box=BOX)),
         "window_filter": _with_pings(lambda p: restrict(p, window=WINDOW)),
         "box_window_filter": _with_pings(lambda p: restrict(p, box=BOX, window=WINDOW)),

@@ -182,3 +182,12 @@ def test_day_clock_window_argument_order():
 def test_window_partition_days():
     assert day_window(1, 3).day_range()[1].day == 2
     assert day_clock_window(1, 3, "00:00:00", "00:00:01").day_range()[1].day == 3
+
+
+def test_clock_window_file_order_extent(pings):
+    # The last line of the file is a day-1 row, although a day-2 row comes before it.
+    w = clock_window(pings, "08:00:00", "09:00:00", extent="file_order")
+    assert w == TimeWindow(datetime(2014, 10, 1, 8), datetime(2014, 10, 1, 9))
+    assert clock_window(pings, "08:00:00", "09:00:00").end == datetime(2014, 10, 2, 9)
+    with pytest.raises(ValueError):
+        clock_window(pings, "08:00:00", "09:00:00", extent="nope")

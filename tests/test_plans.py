@@ -99,3 +99,22 @@ def test_long_report_scans_twice_or_once_when_persisted(text_pings):
         assert plan_text(long).count("Scan In-memory table") + plan_text(long).count(
             "InMemoryTableScan"
         ) >= 2
+
+
+def test_compact_layout_same_rows(spark, text_pings, parquet_pings):
+    compacted = load_partitioned(
+        spark, write_partitioned(text_pings, scratch_path(spark, "plan-compact"), compact=True, num_partitions=4)
+    )
+    key = lambda r: str(tuple(r))
+    assert sorted(compacted.collect(), key=key) == sorted(parquet_pings.collect(), key=key)
+    assert "_row" not in compacted.columns
+
+
+def test_plain_layout_write_has_no_shuffle(text_pings):
+    from transitlens.functions.columns import service_date
+    from pyspark.sql import functions as F
+
+    frame = text_pings.withColumn("service_date", service_date(F.col("datetime"))).sortWithinPartitions(
+        "service_date", "latitude", "longitude", "datetime"
+    )
+    assert "Exchange" not in plan_text(frame)

@@ -30,6 +30,7 @@ from transitlens.plans import (
     full_report,
     preview,
     report,
+    report_long,
 )
 from transitlens.schema import PING_SCHEMA, RAW_SCHEMA
 from transitlens.sources import (
@@ -37,6 +38,7 @@ from transitlens.sources import (
     load_event_pings,
     load_partitioned,
     load_pings,
+    parse_lines,
     write_day_files,
     write_partitioned,
 )
@@ -64,8 +66,10 @@ __all__ = [
     "load_event_pings",
     "load_partitioned",
     "load_pings",
+    "parse_lines",
     "preview",
     "report",
+    "report_long",
     "restrict",
     "slower_than",
     "speed_stats",

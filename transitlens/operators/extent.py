@@ -35,15 +35,30 @@ def _day(year: int, month: int, day: int | str) -> date:
     return date(int(year), int(month), int(day))
 
 
-def clock_window(pings: DataFrame, clock_start: str | time, clock_end: str | time) -> TimeWindow:
+def clock_window(
+    pings: DataFrame,
+    clock_start: str | time,
+    clock_end: str | time,
+    extent: str = "range",
+) -> TimeWindow:
     """From the first day of the data at ``clock_start`` to its last day at ``clock_end``.
 
     One interval across the whole extent, not a repeated daily band. Runs one small job
-    (a single-row aggregate) and returns literal bounds, so the query that uses the window
-    still gets its bounds pushed down to the scan. Empty input gives an empty window.
+    and returns literal bounds, so the query that uses the window still gets its bounds
+    pushed down to the scan. Empty input gives an empty window.
+
+    ``extent="range"`` (default) takes the days of the smallest and largest ``datetime``
+    (:func:`extent_days`). ``extent="file_order"`` takes the first and the last row in
+    input order, as the original program did: Spark reads only the first and the last
+    input splits for that, but the answer depends on the order of the files and rows.
     """
     start_clock, end_clock = parse_clock(clock_start), parse_clock(clock_end)
-    first_day, last_day = extent_days(pings)
+    if extent == "range":
+        first_day, last_day = extent_days(pings)
+    elif extent == "file_order":
+        first_day, last_day = _file_order_days(pings)
+    else:
+        raise ValueError(f"extent must be 'range' or 'file_order', got {extent!r}")
     if first_day is None or last_day is None:
         return TimeWindow.empty()
     return TimeWindow(
@@ -51,6 +66,17 @@ def clock_window(pings: DataFrame, clock_start: str | time, clock_end: str | tim
     )
 
 
+def _file_order_days(pings: DataFrame) -> tuple[date | None, date | None]:
+    ts = pings.select("datetime")
+    head = ts.head()
+    if head is None:
+        return None, None
+    tail = ts.tail(1)[0]
+    if head[0] is None or tail[0] is None:
+        raise ValueError("the first or last row in input order has no datetime")
+    return head[0].date(), tail[0].date()
+
+
 def extent_days(pings: DataFrame) -> tuple[date | None, date | None]:
     """First and last calendar day of the data (one single-row job).
 

@@ -14,6 +14,7 @@ from transitlens.plans.report import (
     full_report,
     preview,
     report,
+    report_long,
 )
 
 __all__ = [
@@ -30,4 +31,5 @@ __all__ = [
     "full_report",
     "preview",
     "report",
+    "report_long",
 ]

@@ -80,27 +80,30 @@ class Report(Mapping):
         self._base = base
         self.spec = spec
         self.persisted = persisted
-        self._sections = self._build_sections()
+        self._names = spec.section_names()
+        self._built: dict[str, DataFrame] = {}
 
-    def _build_sections(self) -> dict[str, DataFrame]:
+    def _build(self, name: str) -> DataFrame:
         base = self._base
-        sections: dict[str, DataFrame] = {}
-        if self.spec.stats:
-            sections[STATS] = base.agg(*stat_columns())
-        if self.spec.line_means:
-            sections[LINE_MEANS] = base.groupBy("bus_line").agg(F.avg("speed").alias("mean_speed"))
-        for name, cond in self.spec.observation_conditions():
-            sections[name] = base.where(cond).select(*OBSERVATION_COLUMNS)
-        return sections
+        if name == STATS:
+            return base.agg(*stat_columns())
+        if name == LINE_MEANS:
+            return base.groupBy("bus_line").agg(F.avg("speed").alias("mean_speed"))
+        cond = dict(self.spec.observation_conditions())[name]
+        return base.where(cond).select(*OBSERVATION_COLUMNS)
 
     def __getitem__(self, key: str) -> DataFrame:
-        return self._sections[key]
+        if key not in self._names:
+            raise KeyError(key)
+        if key not in self._built:
+            self._built[key] = self._build(key)
+        return self._built[key]
 
     def __iter__(self) -> Iterator[str]:
-        return iter(self._sections)
+        return iter(self._names)
 
     def __len__(self) -> int:
-        return len(self._sections)
+        return len(self._names)
 
     def long(self) -> DataFrame:
         """All sections stacked: ``section`` plus the union of the section columns (see
@@ -185,6 +188,11 @@ def report(
     return Report(base, spec, persist)
 
 
+def report_long(rep: Report) -> DataFrame:
+    """All sections of ``rep`` in one DataFrame (see :meth:`Report.long`)."""
+    return rep.long()
+
+
 # The sections and thresholds of the five reports of the original program.
 BOX_SPEC = ReportSpec(slow_below=10.0, fast_above=50.0)
 WINDOW_SPEC = ReportSpec(exact=0.0, fast_above=100.0)

@@ -9,6 +9,7 @@ from transitlens.sources.text import (
     day_paths,
     line_expr,
     load_pings,
+    parse_lines,
     read_raw,
     split_lines,
     to_lines,
@@ -23,6 +24,7 @@ __all__ = [
     "load_event_pings",
     "load_partitioned",
     "load_pings",
+    "parse_lines",
     "pings_from_events",
     "read_raw",
     "split_lines",

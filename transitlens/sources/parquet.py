@@ -12,31 +12,47 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from transitlens.functions.columns import service_date
 from transitlens.schema import PARTITIONED_SCHEMA, PING_COLUMNS, SERVICE_DATE
 
+# Sort order inside every file: rows of one day, by position, so that each row group
+# carries tight latitude/longitude bounds that box queries can skip on.
+FILE_ORDER = (SERVICE_DATE, "latitude", "longitude", "datetime")
+
 
 def write_partitioned(
     pings: DataFrame,
     path: str,
-    num_partitions: int | None = None,
     mode: str = "errorifexists",
+    compact: bool = False,
+    num_partitions: int | None = None,
     max_records_per_file: int = 5_000_000,
 ) -> str:
     """Write pings to ``path/service_date=YYYY-MM-DD/*.parquet``.
 
-    Rows are range-partitioned on ``(service_date, latitude, longitude)``: a day holding a
-    third of all rows is split over many tasks by latitude instead of landing in one, and
-    each file is sorted, so its row groups carry tight latitude/longitude bounds that let
-    box queries skip them. ``num_partitions`` defaults to ``spark.sql.shuffle.partitions``.
+    By default there is no shuffle: every input split (bounded by
+    ``spark.sql.files.maxPartitionBytes``) sorts its own rows and writes one file per day
+    it holds, so no task ever receives more than one split, however the rows are skewed.
+    For time-ordered day files that is about one file per split.
+
+    ``compact=True`` range-partitions first (``num_partitions`` ranges, default
+    ``spark.sql.shuffle.partitions``) so each day is cut into few, position-sorted files
+    even when the input is unordered. The range key ends with a per-row id, so a group of
+    identical rows (a parked vehicle's repeated pings, duplicated files) is still cut
+    across ranges instead of landing in one task. The id depends only on the input split
+    and the row's place in it, so a retried task recomputes the same ranges.
     """
     frame = pings.select(*PING_COLUMNS).withColumn(SERVICE_DATE, service_date(F.col("datetime")))
-    ordering = [SERVICE_DATE, "latitude", "longitude"]
-    ranged = (
-        frame.repartitionByRange(num_partitions, *ordering)
-        if num_partitions
-        else frame.repartitionByRange(*ordering)
-    )
+    if compact:
+        frame = frame.withColumn("_row", F.monotonically_increasing_id())
+        key = [*FILE_ORDER, "_row"]
+        ranged = (
+            frame.repartitionByRange(num_partitions, *key)
+            if num_partitions
+            else frame.repartitionByRange(*key)
+        )
+        frame = ranged.sortWithinPartitions(*key).drop("_row")
+    else:
+        frame = frame.sortWithinPartitions(*FILE_ORDER)
     (
-        ranged.sortWithinPartitions(*ordering)
-        .write.mode(mode)
+        frame.write.mode(mode)
         .option("maxRecordsPerFile", max_records_per_file)
         .partitionBy(SERVICE_DATE)
         .parquet(path)

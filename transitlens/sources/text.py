@@ -98,6 +98,16 @@ def clean(raw: DataFrame, max_speed: float = MAX_PLAUSIBLE_SPEED) -> DataFrame:
     )
 
 
+def parse_lines(
+    lines: DataFrame,
+    column: str = "value",
+    strict: bool = False,
+    max_speed: float = MAX_PLAUSIBLE_SPEED,
+) -> DataFrame:
+    """Text lines (one string column) to the clean ping table."""
+    return clean(split_lines(lines, column, strict), max_speed)
+
+
 def load_pings(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -113,10 +123,8 @@ def load_pings(
     if strict:
         if isinstance(paths, str):
             paths = [paths]
-        raw = split_lines(spark.read.text(list(paths)), strict=True)
-    else:
-        raw = read_raw(spark, paths)
-    return clean(raw, max_speed)
+        return parse_lines(spark.read.text(list(paths)), strict=True, max_speed=max_speed)
+    return clean(read_raw(spark, paths), max_speed)
 
 
 def line_expr() -> Column:
