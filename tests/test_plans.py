@@ -118,3 +118,14 @@ def test_plain_layout_write_has_no_shuffle(text_pings):
         "service_date", "latitude", "longitude", "datetime"
     )
     assert "Exchange" not in plan_text(frame)
+
+
+def test_registered_queries_prune_and_push(spark):
+    qs = E.queries()
+    df = qs["line_mean_box_window"](spark, SF)
+    (parts,) = scan_fields(df, "PartitionFilters")
+    assert "2024-01-05" in parts and "2024-01-19" in parts
+    pushed = " ".join(scan_fields(df, "PushedFilters"))
+    assert "LessThan(longitude,-43.2)" in pushed and "GreaterThan(datetime,2024-01-05T00:00)" in pushed
+    (schema,) = scan_fields(qs["slow_box"](spark, SF), "ReadSchema")
+    assert "bus_id" not in schema
