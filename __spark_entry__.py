@@ -52,7 +52,7 @@ from transitlens import (  # noqa: E402
 from transitlens.functions.columns import compose_datetime  # noqa: E402
 from transitlens.schema import PING_COLUMNS  # noqa: E402
 from transitlens.session import scratch_path  # noqa: E402
-from transitlens.sources.text import split_lines, to_lines  # noqa: E402
+from transitlens.sources.text import split_lines  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -76,14 +76,16 @@ def _round(df: DataFrame) -> DataFrame:
     )
 
 
-_PLANS: dict[tuple, tuple[SparkSession, DataFrame]] = {}
+_MEMO: dict[tuple, tuple[SparkSession, object]] = {}
 
 
-def _memo(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    hit = _PLANS.get((id(spark), *key))
+def _memo(spark: SparkSession, key: tuple, build: Callable[[], object]):
+    """One build per session and key (the session object itself is checked, so a new
+    session never sees an old one's plans or folders)."""
+    hit = _MEMO.get((id(spark), *key))
     if hit is None or hit[0] is not spark:
         hit = (spark, build())
-        _PLANS[(id(spark), *key)] = hit
+        _MEMO[(id(spark), *key)] = hit
     return hit[1]
 
 
@@ -109,27 +111,32 @@ def _pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memo(spark, ("layout", sf_dir), build)
 
 
-def _text_copy(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """Write the raw derived pings as headerless comma text into the shared scratch folder."""
-    path = scratch_path(spark, name)
-    to_lines(_event_pings(spark, sf_dir, clean=False)).write.text(path)
-    return path
+def _raw_text(spark: SparkSession, sf_dir: str) -> str:
+    """The raw derived pings written once per session as headerless comma text, one folder
+    per day (``day=YYYY-MM-DD``), in the shared scratch folder. The source keys read it
+    back through the text sources."""
+    return _memo(
+        spark,
+        ("text", sf_dir),
+        lambda: write_day_files(
+            _event_pings(spark, sf_dir, clean=False), scratch_path(spark, "raw-day-files")
+        ),
+    )
 
 
 def _scan_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_pings(spark, _text_copy(spark, sf_dir, "scan-parse"))
+    return load_pings(spark, _raw_text(spark, sf_dir))
 
 
 def _ts_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = split_lines(spark.read.text(_text_copy(spark, sf_dir, "ts-compose")))
+    raw = split_lines(spark.read.text(_raw_text(spark, sf_dir)))
     return drop_outliers(raw).select(
         "bus_id", "date", "time", compose_datetime(F.col("date"), F.col("time")).alias("datetime")
     )
 
 
 def _scan_day_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = write_day_files(_event_pings(spark, sf_dir, clean=False), scratch_path(spark, "day-files"))
-    return load_pings(spark, day_paths(base + "/day=%Y-%m-%d", *DAY_FILES))
+    return load_pings(spark, day_paths(_raw_text(spark, sf_dir) + "/day=%Y-%m-%d", *DAY_FILES))
 
 
 def _with_pings(fn: Callable[[DataFrame], DataFrame], rounded: bool = False):
