@@ -129,3 +129,13 @@ def test_registered_queries_prune_and_push(spark):
     assert "LessThan(longitude,-43.2)" in pushed and "GreaterThan(datetime,2024-01-05T00:00)" in pushed
     (schema,) = scan_fields(qs["slow_box"](spark, SF), "ReadSchema")
     assert "bus_id" not in schema
+
+
+def test_long_report_generators_stay_in_codegen(spark):
+    df = E.queries()["report_all"](spark, SF)
+    df.collect()
+    executed = df._jdf.queryExecution().executedPlan().toString()
+    final = executed.split("== Initial Plan ==")[0]
+    generates = [line for line in final.splitlines() if "Generate " in line]
+    assert len(generates) == 2
+    assert all("*(" in line for line in generates), generates

@@ -154,11 +154,13 @@ class Report(Mapping):
         any_cond = conds[0][1]
         for _, cond in conds[1:]:
             any_cond = any_cond | cond
-        tags = F.filter(
-            F.array(*[F.when(cond, F.lit(name)) for name, cond in conds]), lambda t: t.isNotNull()
-        )
-        return self._base.where(any_cond).select(
-            F.explode(tags).alias("section"), *OBSERVATION_COLUMNS
+        # A plain array of CASE WHEN tags keeps the explode inside whole-stage codegen (a
+        # lambda filter on the array would not); unmatched tags are dropped afterwards.
+        tags = F.array(*[F.when(cond, F.lit(name)) for name, cond in conds])
+        return (
+            self._base.where(any_cond)
+            .select(F.explode(tags).alias("section"), *OBSERVATION_COLUMNS)
+            .where(F.col("section").isNotNull())
         )
 
     def unpersist(self) -> None:
