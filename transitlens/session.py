@@ -33,9 +33,14 @@ def scratch_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
-        raise RuntimeError(
-            f"{CHECKPOINT_DIR_KEY} is not set; point it at a folder every executor can reach"
-        )
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(
+                f"{CHECKPOINT_DIR_KEY} is not set; point it at a folder every executor can reach"
+            )
+        # Single-machine session: the only "cluster" is this machine, so a local folder is
+        # shared by every executor thread.
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="transitlens-ckpt-"))
+        path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
@@ -72,7 +77,8 @@ def local_session(
     spark.sparkContext.setLogLevel("ERROR")
     # Only set a checkpoint folder where the cluster did not name one.
     if not spark.conf.get(CHECKPOINT_DIR_KEY, None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(
-            checkpoint_dir or tempfile.mkdtemp(prefix="transitlens-ckpt-")
-        )
+        if checkpoint_dir:
+            spark.sparkContext.setCheckpointDir(checkpoint_dir)
+        else:
+            scratch_dir(spark)
     return spark
