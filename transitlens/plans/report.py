@@ -206,13 +206,17 @@ def box_report(pings: DataFrame, box: Box, persist: bool = False) -> Report:
 
 
 def clock_report(
-    pings: DataFrame, clock_start: str | time, clock_end: str | time, persist: bool = False
+    pings: DataFrame,
+    clock_start: str | time,
+    clock_end: str | time,
+    persist: bool = False,
+    extent: str = "range",
 ) -> Report:
     """R2: first day of the data at ``clock_start`` to its last day at ``clock_end``;
-    statistics, line means, stopped (speed 0), faster than 100."""
-    return report(
-        pings, window=clock_window(pings, clock_start, clock_end), spec=WINDOW_SPEC, persist=persist
-    )
+    statistics, line means, stopped (speed 0), faster than 100. ``extent`` as in
+    :func:`~transitlens.operators.extent.clock_window`."""
+    window = clock_window(pings, clock_start, clock_end, extent=extent)
+    return report(pings, window=window, spec=WINDOW_SPEC, persist=persist)
 
 
 def days_report(
