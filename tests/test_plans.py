@@ -139,3 +139,8 @@ def test_long_report_generators_stay_in_codegen(spark):
     generates = [line for line in final.splitlines() if "Generate " in line]
     assert len(generates) == 2
     assert all("*(" in line for line in generates), generates
+
+
+def test_report_sentinel_is_one_partition(text_pings):
+    text = plan_text(full_report(text_pings, E.BOX, E.DAY1, E.DAY2, E.CLOCK1, E.CLOCK2, E.YEAR, E.MONTH).long())
+    assert "Range (0, 1, step=1, splits=Some(1))" in text
