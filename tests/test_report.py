@@ -113,3 +113,8 @@ def test_preview_is_deterministic_top_n(pings):
     assert [tuple(r[c] for c in E.PREVIEW_ORDER) for r in top.collect()] == full
     assert len(got) == 20
     assert "TakeOrderedAndProject" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_empty_spec_rejected():
+    with pytest.raises(ValueError):
+        ReportSpec(stats=False, line_means=False)

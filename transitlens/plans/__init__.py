@@ -7,11 +7,13 @@ from transitlens.plans.report import (
     WINDOW_SPEC,
     Report,
     ReportSpec,
+    aggregate_rows,
     box_report,
     clock_report,
     day_clock_report,
     days_report,
     full_report,
+    observation_rows,
     preview,
     report,
     report_long,
@@ -24,11 +26,13 @@ __all__ = [
     "WINDOW_SPEC",
     "Report",
     "ReportSpec",
+    "aggregate_rows",
     "box_report",
     "clock_report",
     "day_clock_report",
     "days_report",
     "full_report",
+    "observation_rows",
     "preview",
     "report",
     "report_long",

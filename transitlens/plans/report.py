@@ -54,6 +54,12 @@ class ReportSpec:
     exact: float | None = None
     fast_above: float | None = None
 
+    def __post_init__(self) -> None:
+        if not (self.stats or self.line_means) and all(
+            v is None for v in (self.slow_below, self.exact, self.fast_above)
+        ):
+            raise ValueError("a report needs at least one section")
+
     def observation_conditions(self) -> list[tuple[str, Column]]:
         speed = F.col("speed")
         out: list[tuple[str, Column]] = []
@@ -108,63 +114,16 @@ class Report(Mapping):
     def long(self) -> DataFrame:
         """All sections stacked: ``section`` plus the union of the section columns (see
         :data:`LONG_SCHEMA`), missing values as typed nulls."""
-        parts = [p for p in (self._aggregate_part(), self._observation_part()) if p is not None]
+        parts = [
+            p
+            for p in (aggregate_rows(self._base, self.spec), observation_rows(self._base, self.spec))
+            if p is not None
+        ]
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part, allowMissingColumns=True)
         return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LONG_SCHEMA])
 
-    def _aggregate_part(self) -> DataFrame | None:
-        spec = self.spec
-        if not (spec.stats or spec.line_means):
-            return None
-        base = self._base
-        levels = []
-        if spec.line_means:
-            levels.append(F.struct(F.lit(0).alias("level"), F.col("bus_line").alias("bus_line")))
-        if spec.stats:
-            levels.append(
-                F.struct(F.lit(1).alias("level"), F.lit(None).cast("string").alias("bus_line"))
-            )
-        fed = base.select(F.inline(F.array(*levels)), "speed")
-        if spec.stats:
-            # One row with a null speed guarantees the total group exists (all-null
-            # statistics on empty input, as a global aggregate gives) and changes nothing
-            # otherwise: every aggregate skips nulls.
-            # One partition: the default split count grows with the cluster and would add
-            # that many empty tasks.
-            sentinel = base.sparkSession.range(0, 1, 1, numPartitions=1).select(
-                F.lit(1).alias("level"),
-                F.lit(None).cast("string").alias("bus_line"),
-                F.lit(None).cast("double").alias("speed"),
-            )
-            fed = fed.unionByName(sentinel)
-        agg = fed.groupBy("level", "bus_line").agg(*stat_columns())
-        is_total = F.col("level") == F.lit(1)
-        total_only = {c: F.when(is_total, F.col(c)) for c in STAT_COLUMNS if c != "mean_speed"}
-        return agg.select(
-            F.when(is_total, F.lit(STATS)).otherwise(F.lit(LINE_MEANS)).alias("section"),
-            "bus_line",
-            "mean_speed",
-            *[total_only[c].alias(c) for c in STAT_COLUMNS if c != "mean_speed"],
-        )
-
-    def _observation_part(self) -> DataFrame | None:
-        conds = self.spec.observation_conditions()
-        if not conds:
-            return None
-        any_cond = conds[0][1]
-        for _, cond in conds[1:]:
-            any_cond = any_cond | cond
-        # A plain array of CASE WHEN tags keeps the explode inside whole-stage codegen (a
-        # lambda filter on the array would not); unmatched tags are dropped afterwards.
-        tags = F.array(*[F.when(cond, F.lit(name)) for name, cond in conds])
-        return (
-            self._base.where(any_cond)
-            .select(F.explode(tags).alias("section"), *OBSERVATION_COLUMNS)
-            .where(F.col("section").isNotNull())
-        )
-
     def unpersist(self) -> None:
         if self.persisted:
             self._base.unpersist()
@@ -177,6 +136,65 @@ class Report(Mapping):
         self.unpersist()
 
 
+def aggregate_rows(restricted: DataFrame, spec: ReportSpec) -> DataFrame | None:
+    """The ``stats`` and ``line_means`` sections of the long form in one aggregation.
+
+    Each row is fed to its line group (level 0) and to the total group (level 1), and both
+    are aggregated together: one scan, one shuffle of partial buffers.
+    """
+    if not (spec.stats or spec.line_means):
+        return None
+    levels = []
+    if spec.line_means:
+        levels.append(F.struct(F.lit(0).alias("level"), F.col("bus_line").alias("bus_line")))
+    if spec.stats:
+        levels.append(
+            F.struct(F.lit(1).alias("level"), F.lit(None).cast("string").alias("bus_line"))
+        )
+    fed = restricted.select(F.inline(F.array(*levels)), "speed")
+    if spec.stats:
+        # One row with a null speed guarantees the total group exists (all-null statistics
+        # on empty input, as a global aggregate gives) and changes nothing otherwise: every
+        # aggregate skips nulls. One partition: the default split count grows with the
+        # cluster and would add that many empty tasks.
+        sentinel = restricted.sparkSession.range(0, 1, 1, numPartitions=1).select(
+            F.lit(1).alias("level"),
+            F.lit(None).cast("string").alias("bus_line"),
+            F.lit(None).cast("double").alias("speed"),
+        )
+        fed = fed.unionByName(sentinel)
+    agg = fed.groupBy("level", "bus_line").agg(*stat_columns())
+    is_total = F.col("level") == F.lit(1)
+    return agg.select(
+        F.when(is_total, F.lit(STATS)).otherwise(F.lit(LINE_MEANS)).alias("section"),
+        "bus_line",
+        "mean_speed",
+        *[F.when(is_total, F.col(c)).alias(c) for c in STAT_COLUMNS if c != "mean_speed"],
+    )
+
+
+def observation_rows(restricted: DataFrame, spec: ReportSpec) -> DataFrame | None:
+    """The observation sections (``slow``, ``exact``, ``fast``) as one filter-and-tag pass:
+    ``section, bus_line, datetime, speed``, a row once per section it belongs to.
+
+    Stateless (no shuffle), so it also runs unchanged on a stream.
+    """
+    conds = spec.observation_conditions()
+    if not conds:
+        return None
+    any_cond = conds[0][1]
+    for _, cond in conds[1:]:
+        any_cond = any_cond | cond
+    # A plain array of CASE WHEN tags keeps the explode inside whole-stage codegen (a
+    # lambda filter on the array would not); unmatched tags are dropped afterwards.
+    tags = F.array(*[F.when(cond, F.lit(name)) for name, cond in conds])
+    return (
+        restricted.where(any_cond)
+        .select(F.explode(tags).alias("section"), *OBSERVATION_COLUMNS)
+        .where(F.col("section").isNotNull())
+    )
+
+
 def report(
     pings: DataFrame,
     box: Box | None = None,

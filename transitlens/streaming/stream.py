@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from transitlens.functions.predicates import Box, TimeWindow
-from transitlens.plans.report import Report, ReportSpec
+from transitlens.plans.report import ReportSpec, observation_rows
 from transitlens.schema import MAX_PLAUSIBLE_SPEED, OBSERVATION_COLUMNS, RAW_SCHEMA
 from transitlens.session import scratch_path
 from transitlens.sources.text import CSV_OPTIONS, clean
@@ -44,8 +44,7 @@ def observation_stream(
 ) -> DataFrame:
     """The observation sections of a report (``slow`` / ``exact`` / ``fast``) as one
     stateless stream of ``section, bus_line, datetime, speed`` rows."""
-    base = restrict(pings, box, window).select(*OBSERVATION_COLUMNS)
-    part = Report(base, spec, persisted=False)._observation_part()
+    part = observation_rows(restrict(pings, box, window).select(*OBSERVATION_COLUMNS), spec)
     if part is None:
         raise ValueError("the report spec has no observation section")
     return part
