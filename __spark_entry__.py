@@ -367,6 +367,7 @@ def oracle_sql() -> dict[str, str]:
         "report_day_clock": _report((_DAY_CLOCK_SQL,), _WINDOW_REPORT_OBS),
         "report_all": _report((_BOX_SQL, _DAY_CLOCK_SQL), _WINDOW_REPORT_OBS),
         "preview_top20": _with()
-        + "SELECT * FROM clean ORDER BY datetime, bus_line, speed, bus_id, latitude, longitude "
+        + "SELECT * FROM clean ORDER BY datetime NULLS FIRST, bus_line NULLS FIRST, "
+        "speed NULLS FIRST, bus_id NULLS FIRST, latitude NULLS FIRST, longitude NULLS FIRST "
         "LIMIT 20",
     }
