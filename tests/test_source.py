@@ -162,3 +162,11 @@ def test_datetime_is_wall_clock_in_any_session_zone(spark, edge_file):
         assert ts.select(truncate_to_second(F.col("ts"))).first()[0] == datetime(2014, 10, 19, 0, 30, 5)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_backslash_is_plain_character(spark, scratch):
+    line = "10-01-2014,08:00:00,B\\1,L\\,-22.85,-43.25,5.0"
+    path = write_lines(spark, scratch("backslash"), [line])
+    row = load_pings(spark, path).first()
+    fields = line.split(",")
+    assert (row.bus_id, row.bus_line, row.speed) == (fields[2], fields[3], 5.0)
