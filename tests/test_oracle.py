@@ -34,3 +34,17 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns[0] == "section"
+
+
+@pytest.mark.parametrize(
+    "key", ["ts_compose", "window_filter", "time_extent", "clock_window_stats", "report_day_clock"]
+)
+def test_time_keys_independent_of_session_zone(spark, key):
+    sf_dir = "/root/testdata/sf0.01"
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+        ok, msg = compare(E.queries()[key](spark, sf_dir), duck(sf_dir), E.oracle_sql()[key])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert ok, f"{key}: {msg}"
