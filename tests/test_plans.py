@@ -3,6 +3,8 @@ worker runs, and the long report scans the input twice (once when persisted)."""
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 import pytest
 
 import __spark_entry__ as E
@@ -144,3 +146,23 @@ def test_long_report_generators_stay_in_codegen(spark):
 def test_report_sentinel_is_one_partition(text_pings):
     text = plan_text(full_report(text_pings, E.BOX, E.DAY1, E.DAY2, E.CLOCK1, E.CLOCK2, E.YEAR, E.MONTH).long())
     assert "Range (0, 1, step=1, splits=Some(1))" in text
+
+
+def test_compact_splits_a_group_of_copies(spark):
+    from pyspark.sql import functions as F
+
+    from transitlens import PING_SCHEMA
+
+    t0 = datetime(2024, 1, 5, 8)
+    hot = ("H", "L0", -22.85, -43.25, 0.0, t0)  # a third of all rows: identical copies
+    rows = [hot] * 300 + [
+        (f"B{i}", f"L{i % 7}", -22.8 - i / 1000, -43.2 - i / 1000, float(i % 90),
+         t0 + timedelta(seconds=i))
+        for i in range(600)
+    ]
+    df = spark.createDataFrame(rows, PING_SCHEMA).repartition(6)
+    path = write_partitioned(df, scratch_path(spark, "plan-hot"), compact=True, num_partitions=6)
+    back = load_partitioned(spark, path).withColumn("file", F.input_file_name())
+    assert back.count() == 900
+    hot_files = back.where(F.col("bus_id") == "H").select("file").distinct().count()
+    assert hot_files >= 3, hot_files
