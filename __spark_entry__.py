@@ -319,12 +319,12 @@ def _report(conds: tuple[str, ...], observations: tuple[tuple[str, str], ...], e
     return _with(*extra, restricted) + "\nUNION ALL\n".join(parts)
 
 
-_WINDOW_REPORT_OBS = (("exact", "speed = CAST(0 AS DOUBLE)"), ("fast", "speed > CAST(100 AS DOUBLE)"))
-_BOX_REPORT_OBS = (("slow", "speed < CAST(10 AS DOUBLE)"), ("fast", "speed > CAST(50 AS DOUBLE)"))
 _SLOW = "speed < CAST(10 AS DOUBLE)"
 _FAST_BOX = "speed > CAST(50 AS DOUBLE)"
 _FAST_WINDOW = "speed > CAST(100 AS DOUBLE)"
 _EXACT = "speed = CAST(0 AS DOUBLE)"
+_BOX_REPORT_OBS = (("slow", _SLOW), ("fast", _FAST_BOX))
+_WINDOW_REPORT_OBS = (("exact", _EXACT), ("fast", _FAST_WINDOW))
 
 
 def oracle_sql() -> dict[str, str]:
