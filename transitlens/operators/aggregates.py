@@ -30,6 +30,16 @@ def stat_columns(speed: str = "speed") -> list[Column]:
     ]
 
 
+def line_means_of(rows: DataFrame) -> DataFrame:
+    """``bus_line, mean_speed`` over all of ``rows``."""
+    return rows.groupBy("bus_line").agg(F.avg("speed").alias("mean_speed"))
+
+
+def stats_of(rows: DataFrame) -> DataFrame:
+    """One row of :func:`stat_columns` over all of ``rows``."""
+    return rows.agg(*stat_columns())
+
+
 def line_mean(
     pings: DataFrame, box: Box | None = None, window: TimeWindow | None = None
 ) -> DataFrame:
@@ -37,15 +47,11 @@ def line_mean(
 
     Unordered; lines without a row inside are absent.
     """
-    return (
-        restrict(pings, box, window)
-        .groupBy("bus_line")
-        .agg(F.avg("speed").alias("mean_speed"))
-    )
+    return line_means_of(restrict(pings, box, window))
 
 
 def speed_stats(
     pings: DataFrame, box: Box | None = None, window: TimeWindow | None = None
 ) -> DataFrame:
     """One row of speed statistics inside the box and/or window (see :func:`stat_columns`)."""
-    return restrict(pings, box, window).agg(*stat_columns())
+    return stats_of(restrict(pings, box, window))

@@ -21,7 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from transitlens.functions.predicates import Box, TimeWindow
-from transitlens.operators.aggregates import STAT_COLUMNS, stat_columns
+from transitlens.operators.aggregates import STAT_COLUMNS, line_means_of, stat_columns, stats_of
 from transitlens.operators.extent import clock_window, day_clock_window, day_window
 from transitlens.operators.filters import restrict
 from transitlens.schema import OBSERVATION_COLUMNS
@@ -92,9 +92,9 @@ class Report(Mapping):
     def _build(self, name: str) -> DataFrame:
         base = self._base
         if name == STATS:
-            return base.agg(*stat_columns())
+            return stats_of(base)
         if name == LINE_MEANS:
-            return base.groupBy("bus_line").agg(F.avg("speed").alias("mean_speed"))
+            return line_means_of(base)
         cond = dict(self.spec.observation_conditions())[name]
         return base.where(cond).select(*OBSERVATION_COLUMNS)
 
