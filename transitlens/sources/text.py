@@ -15,7 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from transitlens.functions.columns import compose_datetime
 from transitlens.functions.predicates import outlier_condition
-from transitlens.schema import MAX_PLAUSIBLE_SPEED, RAW_FIELDS, RAW_SCHEMA
+from transitlens.schema import (
+    DATE_FORMAT,
+    MAX_PLAUSIBLE_SPEED,
+    RAW_FIELDS,
+    RAW_SCHEMA,
+    TIME_FORMAT,
+)
 
 # Plain ``str.split(",")`` semantics: no quoting, no escaping, no comments.
 CSV_OPTIONS = {
@@ -140,8 +146,8 @@ def line_expr() -> Column:
     ts = F.col("datetime")
     return F.concat_ws(
         ",",
-        F.coalesce(F.date_format(ts, "MM-dd-yyyy"), F.lit("")),
-        F.coalesce(F.date_format(ts, "HH:mm:ss"), F.lit("")),
+        F.coalesce(F.date_format(ts, DATE_FORMAT), F.lit("")),
+        F.coalesce(F.date_format(ts, TIME_FORMAT), F.lit("")),
         text(F.col("bus_id")),
         text(F.col("bus_line")),
         text(F.col("latitude")),
