@@ -37,6 +37,11 @@ def parse_datetime(text: Column, fmt: str = DATETIME_FORMAT) -> Column:
     "parses as a zoned timestamp" and "parses as a local one" accept the same strings).
     The result is the wall-clock time of the text whatever the session zone, including
     times that fall in a daylight-saving gap.
+
+    Cost: two formatter parses per row (about 0.6 us each per core). Spark has no
+    ``try_`` parser for ``TIMESTAMP_NTZ``. A fixed-width fast path (shape regex plus
+    ``try_make_timestamp_ntz`` of the digit groups) was measured and gained under 20%,
+    not enough to justify a second definition of "valid".
     """
     fmt_col = F.lit(fmt)
     return F.when(
