@@ -191,3 +191,18 @@ def test_clock_window_file_order_extent(pings):
     assert clock_window(pings, "08:00:00", "09:00:00").end == datetime(2014, 10, 2, 9)
     with pytest.raises(ValueError):
         clock_window(pings, "08:00:00", "09:00:00", extent="nope")
+
+
+def test_file_order_extent_follows_file_names_not_sizes(spark):
+    from transitlens import load_pings
+
+    base = scratch_path(spark, "file-order")
+    # The later day's file is larger, so Spark reads it first; input order is still by name.
+    write_lines(spark, base + "/2014-10-01.txt", ["10-01-2014,08:00:00,A,1,-22.85,-43.25,5.0"])
+    write_lines(spark, base + "/2014-10-02.txt", [
+        f"10-02-2014,09:00:{i:02d},B{i},1,-22.85,-43.25,5.0" for i in range(50)
+    ] + ["10-03-2014,23:00:00,Z,1,-22.85,-43.25,5.0"])
+    pings = load_pings(spark, [base + "/2014-10-01.txt", base + "/2014-10-02.txt"])
+    w = clock_window(pings, "08:00:00", "09:00:00", extent="file_order")
+    assert w == TimeWindow(datetime(2014, 10, 1, 8), datetime(2014, 10, 3, 9))
+    assert pings.head().bus_id != "A"  # head() alone would start in the larger file

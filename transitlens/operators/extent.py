@@ -49,8 +49,8 @@ def clock_window(
 
     ``extent="range"`` (default) takes the days of the smallest and largest ``datetime``
     (:func:`extent_days`). ``extent="file_order"`` takes the first and the last row in
-    input order, as the original program did: Spark reads only the first and the last
-    input splits for that, but the answer depends on the order of the files and rows.
+    input order (files in name order, rows in file order), as the original program did;
+    that answer depends on how the files and rows are ordered.
     """
     start_clock, end_clock = parse_clock(clock_start), parse_clock(clock_end)
     if extent == "range":
@@ -67,14 +67,25 @@ def clock_window(
 
 
 def _file_order_days(pings: DataFrame) -> tuple[date | None, date | None]:
-    ts = pings.select("datetime")
-    head = ts.head()
-    if head is None:
+    """Dates of the first and last row in input order: files in name order (day files are
+    named by date), rows in their place within the file.
+
+    ``head()``/``tail()`` would follow Spark's split order, which packs the largest files
+    first, so this is one global aggregate instead: ``min_by``/``max_by`` over (file name,
+    per-row position), partially aggregated in every task. The position id grows with the
+    row's offset inside a file, since one file's splits keep their offset order.
+    """
+    key = F.struct(
+        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("pos")
+    )
+    ordered = pings.select("datetime", key.alias("_order"))  # evaluated at the scan
+    ts, order = F.col("datetime"), F.col("_order")
+    row = ordered.agg(F.min_by(ts, order), F.max_by(ts, order), F.count(F.lit(1))).first()
+    if row is None or row[2] == 0:
         return None, None
-    tail = ts.tail(1)[0]
-    if head[0] is None or tail[0] is None:
+    if row[0] is None or row[1] is None:
         raise ValueError("the first or last row in input order has no datetime")
-    return head[0].date(), tail[0].date()
+    return row[0].date(), row[1].date()
 
 
 def extent_days(pings: DataFrame) -> tuple[date | None, date | None]:
