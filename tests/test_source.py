@@ -170,3 +170,16 @@ def test_backslash_is_plain_character(spark, scratch):
     row = load_pings(spark, path).first()
     fields = line.split(",")
     assert (row.bus_id, row.bus_line, row.speed) == (fields[2], fields[3], 5.0)
+
+
+def test_windows_line_endings(spark, scratch):
+    import os
+
+    folder = scratch("crlf")
+    os.makedirs(folder.replace("file:", ""), exist_ok=True)
+    with open(os.path.join(folder.replace("file:", ""), "day.txt"), "wb") as fh:
+        fh.write(b"10-01-2014,08:00:00,T1,10.0,-22.85,-43.25,35.5\r\n"
+                 b"10-01-2014,08:00:01,T2,0,-22.85,-43.25,0.0\r\n")
+    for strict in (False, True):
+        rows = sorted(load_pings(spark, folder, strict=strict).collect(), key=lambda r: r.bus_id)
+        assert [(r.bus_id, r.speed) for r in rows] == [("T1", 35.5), ("T2", 0.0)]
