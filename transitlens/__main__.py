@@ -2,7 +2,7 @@
 
     python -m transitlens INPUT [INPUT ...] [--box EAST WEST NORTH SOUTH]
                           [--days DAY1 DAY2] [--clock START END]
-                          [--year 2014] [--month 10] [--rows 20] [--persist] [--parquet]
+                          [--year YEAR] [--month MONTH] [--rows 20] [--persist] [--parquet]
 
 The options that are given choose the report:
 
@@ -34,6 +34,7 @@ from transitlens.plans.report import (
     full_report,
     preview,
 )
+from transitlens.schema import DEFAULT_MONTH, DEFAULT_YEAR
 from transitlens.sources.parquet import load_partitioned
 from transitlens.sources.text import load_pings
 
@@ -51,8 +52,8 @@ def parse_args(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--box", nargs=4, type=float, metavar=("EAST", "WEST", "NORTH", "SOUTH"))
     p.add_argument("--days", nargs=2, type=int, metavar=("DAY1", "DAY2"))
     p.add_argument("--clock", nargs=2, metavar=("START", "END"), help="HH:MM:SS HH:MM:SS")
-    p.add_argument("--year", type=int, default=2014)
-    p.add_argument("--month", type=int, default=10)
+    p.add_argument("--year", type=int, default=DEFAULT_YEAR)
+    p.add_argument("--month", type=int, default=DEFAULT_MONTH)
     p.add_argument("--rows", type=int, default=20, help="rows printed per section")
     p.add_argument("--persist", action="store_true", help="cache the restricted rows once")
     p.add_argument("--parquet", action="store_true", help="inputs are the Parquet layout")

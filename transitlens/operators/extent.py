@@ -7,7 +7,7 @@ from datetime import date, datetime, time
 from pyspark.sql import DataFrame, functions as F
 
 from transitlens.functions.predicates import TimeWindow
-from transitlens.schema import SERVICE_DATE
+from transitlens.schema import DEFAULT_MONTH, DEFAULT_YEAR, SERVICE_DATE
 
 CLOCK_FORMAT = "%H:%M:%S"
 
@@ -104,7 +104,9 @@ def extent_days(pings: DataFrame) -> tuple[date | None, date | None]:
     return row[0].date(), row[1].date()
 
 
-def day_window(day1: int | str, day2: int | str, year: int = 2014, month: int = 10) -> TimeWindow:
+def day_window(
+    day1: int | str, day2: int | str, year: int = DEFAULT_YEAR, month: int = DEFAULT_MONTH
+) -> TimeWindow:
     """Midnight of ``day1`` to midnight of ``day2`` in ``year``-``month`` (open interval:
     midnight of day 1 and all of day 2 are outside; equal days select nothing)."""
     return TimeWindow(
@@ -118,8 +120,8 @@ def day_clock_window(
     day2: int | str,
     clock1: str | time,
     clock2: str | time,
-    year: int = 2014,
-    month: int = 10,
+    year: int = DEFAULT_YEAR,
+    month: int = DEFAULT_MONTH,
 ) -> TimeWindow:
     """``day1`` at ``clock1`` to ``day2`` at ``clock2`` in ``year``-``month``."""
     return TimeWindow(

@@ -24,7 +24,7 @@ from transitlens.functions.predicates import Box, TimeWindow
 from transitlens.operators.aggregates import STAT_COLUMNS, line_means_of, stat_columns, stats_of
 from transitlens.operators.extent import clock_window, day_clock_window, day_window
 from transitlens.operators.filters import restrict
-from transitlens.schema import OBSERVATION_COLUMNS
+from transitlens.schema import DEFAULT_MONTH, DEFAULT_YEAR, OBSERVATION_COLUMNS
 
 LONG_SCHEMA = T.StructType(
     [
@@ -243,8 +243,8 @@ def days_report(
     pings: DataFrame,
     day1: int | str,
     day2: int | str,
-    year: int = 2014,
-    month: int = 10,
+    year: int = DEFAULT_YEAR,
+    month: int = DEFAULT_MONTH,
     persist: bool = False,
 ) -> Report:
     """R3: midnight of ``day1`` to midnight of ``day2``; sections as :func:`clock_report`."""
@@ -259,8 +259,8 @@ def day_clock_report(
     day2: int | str,
     clock1: str | time,
     clock2: str | time,
-    year: int = 2014,
-    month: int = 10,
+    year: int = DEFAULT_YEAR,
+    month: int = DEFAULT_MONTH,
     persist: bool = False,
 ) -> Report:
     """R4: ``day1`` at ``clock1`` to ``day2`` at ``clock2``; sections as :func:`clock_report`."""
@@ -275,8 +275,8 @@ def full_report(
     day2: int | str,
     clock1: str | time,
     clock2: str | time,
-    year: int = 2014,
-    month: int = 10,
+    year: int = DEFAULT_YEAR,
+    month: int = DEFAULT_MONTH,
     persist: bool = False,
 ) -> Report:
     """R5: inside ``box`` and from ``day1`` at ``clock1`` to ``day2`` at ``clock2``;

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# The positional layout of one raw line (comma separated, no header)
-# and the text formats of its date and time fields.
+# Fixed values:
+# - the positional layout of one raw line (comma separated, no header);
+# - the text formats of its date and time fields;
+# - the outlier bound: speeds above it (km/h) are dropped when loading, the bound itself
+#   is kept;
+# - the year and month that day numbers refer to when none are given.
 RAW_FIELDS = ("date", "time", "bus_id", "bus_line", "latitude", "longitude", "speed")
 DATE_FORMAT = "MM-dd-yyyy"
 TIME_FORMAT = "HH:mm:ss"
-DATETIME_FORMAT = f"{DATE_FORMAT} {TIME_FORMAT}"
-
-# Speeds above this (km/h) are GPS outliers and are dropped when loading; 120 itself is kept.
 MAX_PLAUSIBLE_SPEED = 120.0
+DEFAULT_YEAR = 2014
+DEFAULT_MONTH = 10
+
+DATETIME_FORMAT = f"{DATE_FORMAT} {TIME_FORMAT}"
 
 RAW_SCHEMA = T.StructType(
     [
