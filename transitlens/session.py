@@ -34,17 +34,24 @@ def scratch_dir(spark: SparkSession) -> str:
     they survive the loss of any executor.
     """
     path = spark.conf.get(CHECKPOINT_DIR_KEY, None)
+    if path:
+        return path.rstrip("/")
+    try:
+        sc = spark.sparkContext  # not available on a Spark Connect session
+    except Exception as exc:  # noqa: BLE001
+        raise RuntimeError(
+            f"{CHECKPOINT_DIR_KEY} is not set; point it at a folder every executor can reach"
+        ) from exc
+    path = sc.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError(
                 f"{CHECKPOINT_DIR_KEY} is not set; point it at a folder every executor can reach"
             )
         # Single-machine session: the only "cluster" is this machine, so a local folder is
         # shared by every executor thread.
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="transitlens-ckpt-"))
-        path = spark.sparkContext.getCheckpointDir()
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="transitlens-ckpt-"))
+        path = sc.getCheckpointDir()
     return path.rstrip("/")
 
 
