@@ -31,9 +31,13 @@ def test_query_matches_oracle(spark, sf_dir, con, key):
 
 
 def test_entry_smoke(spark):
+    from transitlens.plans.report import LONG_SCHEMA
+
     df = E.entry(spark)
-    assert df.count() > 0
-    assert df.columns[0] == "section"
+    assert df.count() == 21
+    assert [(f.name, f.dataType) for f in df.schema] == [
+        (f.name, f.dataType) for f in LONG_SCHEMA
+    ]
 
 
 @pytest.mark.parametrize(
