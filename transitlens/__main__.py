@@ -32,20 +32,11 @@ from transitlens.plans.report import (
     day_clock_report,
     days_report,
     full_report,
-    preview,
 )
 from transitlens.schema import DEFAULT_MONTH, DEFAULT_YEAR
 from transitlens.sources.parquet import load_partitioned
 from transitlens.sources.text import load_pings
 
-# Sort order of the printed preview of each section.
-SECTION_ORDER = {
-    "stats": None,
-    "line_means": ["bus_line"],
-}
-OBSERVATION_ORDER = ["datetime", "bus_line", "speed"]
-
-
 def parse_args(argv: list[str]) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="python -m transitlens", description=__doc__.split("\n")[0])
     p.add_argument("inputs", nargs="+", help="day files or folders")
@@ -89,10 +80,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parse_args(sys.argv[1:] if argv is None else argv)
     spark = SparkSession.builder.appName("transitlens-report").getOrCreate()
     with build_report(spark, args) as rep:
-        for name, df in rep.items():
-            order = SECTION_ORDER.get(name, OBSERVATION_ORDER)
-            print(f"== {name}")
-            preview(df, args.rows, order).show(args.rows, truncate=False)
+        rep.show(args.rows)
     return 0
 
 

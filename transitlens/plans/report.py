@@ -124,6 +124,16 @@ class Report(Mapping):
             out = out.unionByName(part, allowMissingColumns=True)
         return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LONG_SCHEMA])
 
+    def show(self, n: int = 20, truncate: bool = False) -> None:
+        """Print every section as a titled preview of ``n`` rows in a fixed order (the
+        console output of the original program, made deterministic)."""
+        for name in self:
+            order = {STATS: None, LINE_MEANS: ["bus_line"]}.get(
+                name, ["datetime", "bus_line", "speed"]
+            )
+            print(f"== {name}")
+            preview(self[name], n, order).show(n, truncate=truncate)
+
     def unpersist(self) -> None:
         if self.persisted:
             self._base.unpersist()
