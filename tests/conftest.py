@@ -18,7 +18,11 @@ TESTDATA = "/root/testdata"
 @pytest.fixture(scope="session")
 def spark():
     # The cluster's spark.checkpoint.dir wins; a private folder only when it is unset.
-    session = local_session("*", shuffle_partitions=8)
+    # TRANSITLENS_TEST_TZ runs the whole suite in another session zone (results must not
+    # change: every time is wall-clock TIMESTAMP_NTZ).
+    zone = os.environ.get("TRANSITLENS_TEST_TZ")
+    extra = {"spark.sql.session.timeZone": zone} if zone else None
+    session = local_session("*", shuffle_partitions=8, extra_conf=extra)
     yield session
     session.stop()
 
