@@ -129,3 +129,37 @@ def test_long_report_sections(spark, data, shape, spec):
         want = obs(r for r in kept if cond(r[4]))
         have = sorted(((r.bus_line, r.datetime, r.speed) for r in sections.get(name, [])), key=str)
         assert have == want, name
+
+
+MIDNIGHT = datetime(2014, 10, 2)
+near_midnight = st.one_of(
+    st.none(), st.integers(-3, 3).map(lambda s: MIDNIGHT + timedelta(seconds=s))
+)
+layout_rows = st.lists(
+    st.tuples(st.sampled_from(["a", "b"]), st.sampled_from(["L1", "L2"]), lats, lons, speeds,
+              near_midnight),
+    min_size=1, max_size=20,
+)
+midnight_windows = st.sampled_from([
+    TimeWindow(MIDNIGHT - timedelta(seconds=2), MIDNIGHT),  # ends exactly at midnight
+    TimeWindow(MIDNIGHT, MIDNIGHT + timedelta(seconds=2)),  # starts exactly at midnight
+    TimeWindow(MIDNIGHT - timedelta(seconds=2), MIDNIGHT + timedelta(seconds=2)),
+    TimeWindow(MIDNIGHT, MIDNIGHT),
+])
+
+
+@settings(max_examples=8, deadline=None, derandomize=True,
+          suppress_health_check=list(HealthCheck))
+@given(data=layout_rows, window=midnight_windows, with_box=st.booleans())
+def test_day_pruning_never_loses_rows(spark, data, window, with_box):
+    from transitlens import load_partitioned, write_partitioned
+    from transitlens.schema import PING_COLUMNS
+    from transitlens.session import scratch_path
+
+    df = spark.createDataFrame(data, PING_SCHEMA)
+    layout = load_partitioned(spark, write_partitioned(df, scratch_path(spark, "prop-layout")))
+    box = BOX if with_box else None
+    want = got(restrict(df, box, window))
+    have = got(restrict(layout, box, window).select(*PING_COLUMNS))
+    assert have == want
+    assert want == sorted((tuple(r) for r in data if inside(r, box, window)), key=str)
