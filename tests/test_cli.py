@@ -42,3 +42,8 @@ def test_window_reports(spark, day_file, capsys, opts):
 def test_unsupported_combination(spark, day_file):
     with pytest.raises(SystemExit):
         main([day_file, "--box", "-43.2", "-43.3", "-22.8", "-22.9", "--days", "1", "2"])
+
+
+def test_bad_clock_text_is_a_clean_error(spark, day_file):
+    with pytest.raises(SystemExit, match="error"):
+        main([day_file, "--days", "1", "2", "--clock", "8h", "09:00:00"])

@@ -79,7 +79,11 @@ def build_report(spark: SparkSession, args: argparse.Namespace) -> Report:
 def main(argv: list[str] | None = None) -> int:
     args = parse_args(sys.argv[1:] if argv is None else argv)
     spark = SparkSession.builder.appName("transitlens-report").getOrCreate()
-    with build_report(spark, args) as rep:
+    try:
+        rep = build_report(spark, args)
+    except ValueError as exc:  # bad day, clock text or bounds
+        raise SystemExit(f"python -m transitlens: error: {exc}") from None
+    with rep:
         rep.show(args.rows)
     return 0
 
