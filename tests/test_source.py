@@ -183,3 +183,22 @@ def test_windows_line_endings(spark, scratch):
     for strict in (False, True):
         rows = sorted(load_pings(spark, folder, strict=strict).collect(), key=lambda r: r.bus_id)
         assert [(r.bus_id, r.speed) for r in rows] == [("T1", 35.5), ("T2", 0.0)]
+
+
+def test_gzip_day_file(spark, scratch):
+    import gzip
+    import os
+
+    folder = scratch("gzip").replace("file:", "")
+    os.makedirs(folder, exist_ok=True)
+    with gzip.open(os.path.join(folder, "2014-10-01.txt.gz"), "wb") as fh:
+        fh.write(("\n".join(ROWS) + "\n").encode())
+    got = sorted(r.bus_id for r in load_pings(spark, folder).collect())
+    assert got == sorted(KEPT)
+    # The strict reader decompresses the same way (well-formed lines only).
+    strict_folder = scratch("gzip-strict").replace("file:", "")
+    os.makedirs(strict_folder, exist_ok=True)
+    good = [r for r in ROWS if r.count(",") >= 6]
+    with gzip.open(os.path.join(strict_folder, "2014-10-01.txt.gz"), "wb") as fh:
+        fh.write(("\n".join(good) + "\n").encode())
+    assert load_pings(spark, strict_folder, strict=True).count() == len(KEPT)
