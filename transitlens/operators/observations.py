@@ -18,19 +18,19 @@ def _observe(
 def slower_than(
     pings: DataFrame, speed: float, box: Box | None = None, window: TimeWindow | None = None
 ) -> DataFrame:
-    """Pings with ``speed < speed`` inside the box and/or window."""
+    """Pings slower than ``speed`` (strictly) inside the box and/or window."""
     return _observe(pings, F.col("speed") < F.lit(float(speed)), box, window)
 
 
 def faster_than(
     pings: DataFrame, speed: float, box: Box | None = None, window: TimeWindow | None = None
 ) -> DataFrame:
-    """Pings with ``speed > speed`` inside the box and/or window."""
+    """Pings faster than ``speed`` (strictly) inside the box and/or window."""
     return _observe(pings, F.col("speed") > F.lit(float(speed)), box, window)
 
 
 def at_speed(
     pings: DataFrame, speed: float, box: Box | None = None, window: TimeWindow | None = None
 ) -> DataFrame:
-    """Pings with ``speed == speed`` (exact double equality; ``0`` finds stopped vehicles)."""
+    """Pings at exactly ``speed`` (double equality; ``0`` finds stopped vehicles)."""
     return _observe(pings, F.col("speed") == F.lit(float(speed)), box, window)
