@@ -52,3 +52,14 @@ def test_time_keys_independent_of_session_zone(spark, key):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert ok, f"{key}: {msg}"
+
+
+@pytest.mark.parametrize("key", ["scan_parse", "ts_compose", "scan_day_union", "report_all"])
+def test_keys_survive_an_unwritable_scratch_folder(spark, monkeypatch, key):
+    sf_dir = "/root/testdata/sf0.01"
+    monkeypatch.setattr(E, "_MEMO", {})
+    monkeypatch.setattr(E, "scratch_path", lambda s, name: f"/proc/unwritable/{name}")
+    with pytest.warns(UserWarning):
+        df = E.queries()[key](spark, sf_dir)
+    ok, msg = compare(df, duck(sf_dir), E.oracle_sql()[key])
+    assert ok, f"{key}: {msg}"
