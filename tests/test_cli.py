@@ -47,3 +47,13 @@ def test_unsupported_combination(spark, day_file):
 def test_bad_clock_text_is_a_clean_error(spark, day_file):
     with pytest.raises(SystemExit, match="error"):
         main([day_file, "--days", "1", "2", "--clock", "8h", "09:00:00"])
+
+
+def test_parquet_layout_input(spark, day_file, capsys):
+    from transitlens import load_pings, write_partitioned
+
+    layout = write_partitioned(load_pings(spark, day_file), scratch_path(spark, "cli-layout"))
+    assert main([layout, "--parquet", "--days", "1", "2"]) == 0
+    out = capsys.readouterr().out
+    assert sections(out) == ["stats", "line_means", "exact", "fast"]
+    assert "|0       |2014-10-01 08:00:01|0.0  |" in out

@@ -6,6 +6,8 @@ statistics, mean speed per line, slow / stopped / fast observations, or whole re
 Every function returns a lazy DataFrame built from built-in Catalyst expressions.
 """
 
+__version__ = "0.1.0"
+
 from transitlens.functions import Box, TimeWindow
 from transitlens.operators import (
     at_speed,
