@@ -6,8 +6,11 @@ same query as DuckDB SQL over the pre-registered tables.
 
 The supplied tables hold no vehicle positions, so every query starts from pings derived
 from ``events`` (see ``transitlens.sources.events``; the SQL mirror is ``_PINGS_SQL``).
-Floating statistics are rounded to 6 decimals here, in the driver entries only, never in
-the library.
+The source keys read those pings back from raw text day files; every other key reads
+them from the normalised day-partitioned Parquet layout. Both copies are written once
+per session into the shared scratch folder (``spark.checkpoint.dir``). Floating
+statistics are rounded to 6 decimals here, in the driver entries only, never in the
+library.
 """
 
 from __future__ import annotations
