@@ -166,3 +166,14 @@ def test_compact_splits_a_group_of_copies(spark):
     assert back.count() == 900
     hot_files = back.where(F.col("bus_id") == "H").select("file").distinct().count()
     assert hot_files >= 3, hot_files
+
+
+def test_time_extent_reads_two_days_on_partitioned_layout(text_pings, parquet_pings):
+    from transitlens import time_extent
+
+    df = time_extent(parquet_pings)
+    (parts,) = scan_fields(df, "PartitionFilters")
+    assert "2024-01-01" in parts and "2024-01-30" in parts and "2024-01-15" not in parts
+    assert tuple(df.first()) == tuple(time_extent(text_pings).first())
+    empty = time_extent(parquet_pings.where("speed > 1000")).first()
+    assert empty.first_datetime is None and empty.last_datetime is None

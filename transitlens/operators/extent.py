@@ -6,6 +6,7 @@ from datetime import date, datetime, time
 
 from pyspark.sql import DataFrame, functions as F
 
+from transitlens.functions.columns import date_literal
 from transitlens.functions.predicates import TimeWindow
 from transitlens.schema import DEFAULT_MONTH, DEFAULT_YEAR, SERVICE_DATE
 
@@ -19,8 +20,19 @@ def time_extent(pings: DataFrame) -> DataFrame:
     files that is the same, for unsorted files min/max is the order-independent answer
     (and the only one a distributed read can give). Null on empty input. A global
     aggregate: each task sends one partial row.
+
+    On the day-partitioned layout the first and last days are found first from partition
+    values alone (one small job, no column data read). The minimum and maximum then lie
+    in those two day partitions, so only those two days are read, not the whole archive.
     """
     ts = F.col("datetime")
+    if SERVICE_DATE in pings.columns:
+        first, last = extent_days(pings)
+        day = F.col(SERVICE_DATE)
+        if first is None:
+            pings = pings.where(F.lit(False))
+        else:
+            pings = pings.where((day == date_literal(first)) | (day == date_literal(last)))
     return pings.agg(F.min(ts).alias("first_datetime"), F.max(ts).alias("last_datetime"))
 
 
