@@ -239,7 +239,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             lambda p: full_report(p, BOX, DAY1, DAY2, CLOCK1, CLOCK2, YEAR, MONTH).long(),
             rounded=True,
         ),
-        "preview_top20": _with_pings(lambda p: preview(_rows(p), 20, PREVIEW_ORDER)),
+        "preview_top20": _with_pings(lambda p: _rows(preview(p, 20, PREVIEW_ORDER))),
     }
 
 

@@ -177,3 +177,19 @@ def test_time_extent_reads_two_days_on_partitioned_layout(text_pings, parquet_pi
     assert tuple(df.first()) == tuple(time_extent(text_pings).first())
     empty = time_extent(parquet_pings.where("speed > 1000")).first()
     assert empty.first_datetime is None and empty.last_datetime is None
+
+
+def test_preview_reads_only_the_earliest_days_on_partitioned_layout(text_pings, parquet_pings):
+    from transitlens import preview
+    from transitlens.schema import PING_COLUMNS
+
+    order = E.PREVIEW_ORDER
+    df = preview(parquet_pings, 20, order)
+    (parts,) = scan_fields(df, "PartitionFilters")
+    assert "service_date" in parts and "2024-01-30" not in parts
+    got = [tuple(r) for r in df.select(*PING_COLUMNS).collect()]
+    want = [tuple(r) for r in preview(text_pings, 20, order).select(*PING_COLUMNS).collect()]
+    assert got == want
+    # asking for more rows than the first day holds reaches into later days
+    many = parquet_pings.count() - 5
+    assert preview(parquet_pings, many, order).count() == many

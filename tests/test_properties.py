@@ -163,3 +163,19 @@ def test_day_pruning_never_loses_rows(spark, data, window, with_box):
     have = got(restrict(layout, box, window).select(*PING_COLUMNS))
     assert have == want
     assert want == sorted((tuple(r) for r in data if inside(r, box, window)), key=str)
+
+
+@settings(max_examples=8, deadline=None, derandomize=True,
+          suppress_health_check=list(HealthCheck))
+@given(data=layout_rows, n=st.integers(1, 25))
+def test_pruned_preview_equals_full_preview(spark, data, n):
+    from transitlens import load_partitioned, preview, write_partitioned
+    from transitlens.schema import PING_COLUMNS
+    from transitlens.session import scratch_path
+
+    order = ["datetime", "bus_line", "speed", "bus_id", "latitude", "longitude"]
+    df = spark.createDataFrame(data, PING_SCHEMA)
+    layout = load_partitioned(spark, write_partitioned(df, scratch_path(spark, "prop-prev")))
+    have = [tuple(r) for r in preview(layout, n, order).select(*PING_COLUMNS).collect()]
+    want = [tuple(r) for r in preview(df, n, order).select(*PING_COLUMNS).collect()]
+    assert have == want

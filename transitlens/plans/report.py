@@ -24,7 +24,8 @@ from transitlens.functions.predicates import Box, TimeWindow
 from transitlens.operators.aggregates import STAT_COLUMNS, line_means_of, stat_columns, stats_of
 from transitlens.operators.extent import clock_window, day_clock_window, day_window
 from transitlens.operators.filters import restrict
-from transitlens.schema import DEFAULT_MONTH, DEFAULT_YEAR, OBSERVATION_COLUMNS
+from transitlens.functions.columns import date_literal
+from transitlens.schema import DEFAULT_MONTH, DEFAULT_YEAR, OBSERVATION_COLUMNS, SERVICE_DATE
 
 LONG_SCHEMA = T.StructType(
     [
@@ -298,5 +299,32 @@ def full_report(
 def preview(df: DataFrame, n: int = 20, order: list[str] | None = None) -> DataFrame:
     """The first ``n`` rows in a fixed order (all columns by default): a deterministic
     stand-in for ``show()``. Planned as a per-task top-``n`` and a final merge of
-    ``n * tasks`` rows, never a full sort."""
-    return df.orderBy(*(order or df.columns)).limit(n)
+    ``n * tasks`` rows, never a full sort.
+
+    On the day-partitioned layout, when the order starts with ``datetime``, only the
+    earliest days that together hold ``n`` rows are read. Rows without a time sort first,
+    and a later day's rows all come after an earlier day's. The per-day counts come from
+    one small job over partition values and Parquet footers: one row per day reaches the
+    driver.
+    """
+    order = list(order or df.columns)
+    if n > 0 and order[0] == "datetime" and SERVICE_DATE in df.columns:
+        df = df.where(_earliest_days(df, n))
+    return df.orderBy(*order).limit(n)
+
+
+def _earliest_days(df: DataFrame, n: int) -> Column:
+    """Condition selecting the day partitions that can hold the first ``n`` rows by time."""
+    day = F.col(SERVICE_DATE)
+    counts = df.groupBy(day).count().collect()
+    undated = sum(r["count"] for r in counts if r[SERVICE_DATE] is None)
+    if undated >= n:
+        return day.isNull()
+    total, last = undated, None
+    for row in sorted((r for r in counts if r[SERVICE_DATE] is not None), key=lambda r: r[0]):
+        total, last = total + row["count"], row[SERVICE_DATE]
+        if total >= n:
+            break
+    if last is None:
+        return day.isNull()
+    return day.isNull() | (day <= date_literal(last))
