@@ -193,3 +193,27 @@ def test_preview_reads_only_the_earliest_days_on_partitioned_layout(text_pings,
     # asking for more rows than the first day holds reaches into later days
     many = parquet_pings.count() - 5
     assert preview(parquet_pings, many, order).count() == many
+
+
+def test_box_queries_can_skip_row_groups(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = write_partitioned(
+        load_event_pings(spark, "/root/testdata/sf0.01"),
+        scratch_path(spark, "plan-rowgroups"),
+        row_group_bytes=4 * 1024,
+    ).replace("file:", "")
+    files = glob.glob(path + "/*/*.parquet")
+    box, groups, needed = E.BOX, 0, 0
+    for f in files:
+        md = pq.ParquetFile(f).metadata
+        names = [md.schema.column(i).name for i in range(md.num_columns)]
+        lat, lon = names.index("latitude"), names.index("longitude")
+        for g in range(md.num_row_groups):
+            a, b = md.row_group(g).column(lat).statistics, md.row_group(g).column(lon).statistics
+            groups += 1
+            needed += a.max > box.south and a.min < box.north and b.max > box.west and b.min < box.east
+    assert groups > len(files)  # several latitude bands per file
+    assert needed < groups  # the box's bounds rule some of them out
