@@ -38,9 +38,9 @@ def write_partitioned(
     it holds, so no task ever receives more than one split, however the rows are skewed.
     For time-ordered day files that is about one file per split.
 
-    ``compact=True`` range-partitions first (``num_partitions`` ranges, default
-    ``spark.sql.shuffle.partitions``) so each day is cut into few, position-sorted files
-    even when the input is unordered. The range key ends with a per-row id, so a group of
+    ``compact=True`` range-partitions first, so each day is cut into few, position-sorted
+    files even when the input is unordered. ``num_partitions`` ranges default to the
+    number of input splits, so each sorting task gets about one split's worth of rows. The range key ends with a per-row id, so a group of
     identical rows (a parked vehicle's repeated pings, duplicated files) is still cut
     across ranges instead of landing in one task. The id depends only on the input split
     and the row's place in it, so a retried task recomputes the same ranges.
@@ -54,6 +54,8 @@ def write_partitioned(
     """
     frame = pings.select(*PING_COLUMNS).withColumn(SERVICE_DATE, service_date(F.col("datetime")))
     if compact:
+        if num_partitions is None:
+            num_partitions = _input_splits(frame)
         frame = frame.withColumn("_row", F.monotonically_increasing_id())
         key = [*FILE_ORDER, "_row"]
         ranged = (
@@ -75,6 +77,15 @@ def write_partitioned(
     return path
 
 
+def _input_splits(frame: DataFrame) -> int | None:
+    """Number of partitions of the planned input (no job runs), or ``None`` where the
+    session cannot tell (Spark Connect)."""
+    try:
+        return max(1, frame.rdd.getNumPartitions())
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def load_partitioned(spark: SparkSession, path: str) -> DataFrame:
     """Read the day-partitioned layout (schema declared, partition column typed ``date``)."""
     return spark.read.schema(PARTITIONED_SCHEMA).parquet(path)
