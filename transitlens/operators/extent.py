@@ -17,9 +17,9 @@ def time_extent(pings: DataFrame) -> DataFrame:
     """One row: ``first_datetime`` and ``last_datetime`` (min and max of ``datetime``).
 
     The original program took the first and last row in file order; for time-sorted day
-    files that is the same, for unsorted files min/max is the order-independent answer
-    (and the only one a distributed read can give). Null on empty input. A global
-    aggregate: each task sends one partial row.
+    files that is the same, and for unsorted files min/max is the order-independent
+    answer (the file-order one is ``clock_window(..., extent="file_order")``). Null on
+    empty input. A global aggregate: each task sends one partial row.
 
     On the day-partitioned layout the first and last days are found first from partition
     values alone (one small job, no column data read). The minimum and maximum then lie
