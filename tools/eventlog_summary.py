@@ -1,7 +1,7 @@
 """Summarise a Spark event log: per stage, the number of tasks, median and maximum task
 time, input and shuffle bytes and spill; overall, the worst task-time skew.
 
-    python tools/eventlog_summary.py EVENT_LOG [--stages]
+    python tools/eventlog_summary.py EVENT_LOG [--stages] [--top N]
 
 ``EVENT_LOG`` is a log file, a rolling event-log folder, or the ``spark.eventLog.dir``.
 
@@ -95,6 +95,9 @@ def summarise(path: str) -> dict:
 
 def main() -> None:
     out = summarise(sys.argv[1])
+    if "--top" in sys.argv:
+        n = int(sys.argv[sys.argv.index("--top") + 1])
+        out["slowest_stages"] = sorted(out["per_stage"], key=lambda st: -st["max_ms"])[:n]
     if "--stages" not in sys.argv:
         out.pop("per_stage")
     print(json.dumps(out, indent=1))
