@@ -46,8 +46,12 @@ def _lines(path: str):
 
 def summarise(path: str) -> dict:
     tasks: dict[int, list[dict]] = defaultdict(list)
+    names: dict[int, str] = {}
     for line in _lines(path):
         event = json.loads(line)
+        if event.get("Event") == "SparkListenerStageCompleted":
+            info = event["Stage Info"]
+            names[info["Stage ID"]] = info.get("Stage Name", "")
         if event.get("Event") != "SparkListenerTaskEnd":
             continue
         info = event["Task Info"]
@@ -69,6 +73,7 @@ def summarise(path: str) -> dict:
         stages.append(
             {
                 "stage": stage,
+                "name": names.get(stage, ""),
                 "tasks": len(ts),
                 "median_ms": statistics.median(times),
                 "max_ms": max(times),
