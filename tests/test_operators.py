@@ -207,3 +207,12 @@ def test_file_order_extent_follows_file_names_not_sizes(spark):
     w = clock_window(pings, "08:00:00", "09:00:00", extent="file_order")
     assert w == TimeWindow(datetime(2014, 10, 1, 8), datetime(2014, 10, 3, 9))
     assert pings.head().bus_id != "A"  # head() alone would start in the larger file
+
+
+def test_box_accepts_any_real_number_but_not_nan_or_bool():
+    from decimal import Decimal
+
+    assert Box(Decimal("-43.2"), -43.3, -22.8, -22.9).east == -43.2
+    for bad in (float("nan"), True, "x"):
+        with pytest.raises(ValueError):
+            Box(bad, -43.3, -22.8, -22.9)

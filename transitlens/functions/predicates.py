@@ -7,7 +7,9 @@ times), as plain SQL comparisons do.
 
 from __future__ import annotations
 
+import decimal
 import math
+import numbers
 from dataclasses import dataclass
 from datetime import date, datetime, time, timedelta
 
@@ -33,7 +35,12 @@ class Box:
     def __post_init__(self) -> None:
         for name in ("east", "west", "north", "south"):
             value = getattr(self, name)
-            if value is None or not isinstance(value, (int, float)) or math.isnan(value):
+            if (
+                value is None
+                or isinstance(value, bool)
+                or not isinstance(value, (numbers.Real, decimal.Decimal))
+                or math.isnan(float(value))
+            ):
                 raise ValueError(f"Box.{name} must be a number, got {value!r}")
             object.__setattr__(self, name, float(value))
 
