@@ -87,5 +87,10 @@ def _input_splits(frame: DataFrame) -> int | None:
 
 
 def load_partitioned(spark: SparkSession, path: str) -> DataFrame:
-    """Read the day-partitioned layout (schema declared, partition column typed ``date``)."""
+    """Read the day-partitioned layout (schema declared, partition column typed ``date``).
+
+    The day pruning of windows, extents and previews relies on ``service_date`` being the
+    calendar day of ``datetime`` in every row, which :func:`write_partitioned` guarantees.
+    Do not point this at a layout partitioned by another rule (for example by upload day).
+    """
     return spark.read.schema(PARTITIONED_SCHEMA).parquet(path)
