@@ -217,3 +217,38 @@ def test_box_queries_can_skip_row_groups(spark):
             needed += a.max > box.south and a.min < box.north and b.max > box.west and b.min < box.east
     assert groups > len(files)  # several latitude bands per file
     assert needed < groups  # the box's bounds rule some of them out
+
+
+def test_sorted_latitude_lets_the_reader_skip_pages(spark):
+    """One large row group, small pages: a latitude band reads only the pages it needs
+    (Parquet column index), which is what the latitude sort of the layout is for."""
+    from pyspark.sql import functions as F
+
+    n = 200_000
+    path = scratch_path(spark, "plan-pages")
+    (
+        spark.range(n)
+        .select((F.lit(-23.1) + F.col("id") / F.lit(n) * 0.4).alias("latitude"))
+        .coalesce(1)
+        .sortWithinPartitions("latitude")
+        .write.option("parquet.block.size", 512 * 1024 * 1024)
+        .option("parquet.page.size", 8 * 1024)
+        .option("parquet.page.row.count.limit", 2000)
+        .parquet(path)
+    )
+    q = spark.read.parquet(path).where((F.col("latitude") > -22.95) & (F.col("latitude") < -22.94))
+    matching = len(q.collect())
+
+    def nodes(p):
+        yield p
+        it = p.children().iterator()
+        while it.hasNext():
+            yield from nodes(it.next())
+
+    scanned = [
+        p.metrics().apply("numOutputRows").value()
+        for p in nodes(q._jdf.queryExecution().executedPlan())
+        if "Scan" in p.nodeName() and p.metrics().contains("numOutputRows")
+    ]
+    assert matching == 4999
+    assert scanned and scanned[0] < n // 10  # far fewer rows than the row group holds
