@@ -252,3 +252,29 @@ def test_sorted_latitude_lets_the_reader_skip_pages(spark):
     ]
     assert matching == 4999
     assert scanned and scanned[0] < n // 10  # far fewer rows than the row group holds
+
+
+def test_zorder_layout_holds_the_same_rows(spark, text_pings, parquet_pings):
+    zorder = load_partitioned(
+        spark, write_partitioned(text_pings, scratch_path(spark, "plan-zorder"), position_order="zorder")
+    )
+    key = lambda r: str(tuple(r))
+    assert sorted(zorder.collect(), key=key) == sorted(parquet_pings.collect(), key=key)
+    with pytest.raises(ValueError):
+        write_partitioned(text_pings, scratch_path(spark, "plan-bad"), position_order="hilbert")
+
+
+def test_position_key_interleaves_and_clamps(spark):
+    from pyspark.sql import functions as F
+
+    from transitlens.functions.columns import position_key
+
+    rows = spark.createDataFrame(
+        [(-90.0, -180.0), (90.0, 180.0), (95.0, 200.0), (float("nan"), 0.0), (None, 0.0),
+         (-22.85, -43.25), (-22.8501, -43.2501)],
+        "lat double, lon double",
+    ).select(position_key(F.col("lat"), F.col("lon")).alias("k")).collect()
+    keys = [r.k for r in rows]
+    assert keys[0] == 0 and keys[1] == (1 << 40) - 1 and keys[2] == keys[1]  # clamped
+    assert keys[3] is not None and keys[4] is None
+    assert keys[5] >> 20 == keys[6] >> 20  # neighbours share the high bits

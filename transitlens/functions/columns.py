@@ -67,3 +67,42 @@ def truncate_to_second(ts: Column) -> Column:
 def service_date(ts: Column) -> Column:
     """Calendar day of a ``TIMESTAMP_NTZ`` (the Parquet day partition key)."""
     return ts.cast("date")
+
+
+# Fixed parameters of the position key: coordinates are clamped to the globe and
+# quantized to 20 bits each (about 0.0002 degrees, some 20 m), interleaved into 40 bits.
+POSITION_BITS = 20
+LATITUDE_RANGE = (-90.0, 90.0)
+LONGITUDE_RANGE = (-180.0, 180.0)
+
+
+def _quantize(c: Column, lo: float, hi: float, bits: int) -> Column:
+    scale = float((1 << bits) - 1)
+    clamped = F.least(F.greatest(c, F.lit(lo)), F.lit(hi))  # NaN sorts as the largest
+    return F.floor((clamped - F.lit(lo)) / F.lit(hi - lo) * F.lit(scale))
+
+
+def _spread_bits(v: Column) -> Column:
+    """Move bit ``i`` of a value below 2^32 to bit ``2i`` (zeros in between)."""
+    for shift, mask in (
+        (16, 0x0000FFFF0000FFFF),
+        (8, 0x00FF00FF00FF00FF),
+        (4, 0x0F0F0F0F0F0F0F0F),
+        (2, 0x3333333333333333),
+        (1, 0x5555555555555555),
+    ):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+    return v
+
+
+def position_key(latitude: Column, longitude: Column, bits: int = POSITION_BITS) -> Column:
+    """Z-order (Morton) key of a position: the bits of quantized latitude and longitude
+    interleaved. Sorting by it keeps nearby positions together in both directions, so the
+    min/max statistics of each Parquet page bound a small box. Null if a coordinate is
+    null. Built-in bit operations only (whole-stage codegen)."""
+    lat = _spread_bits(_quantize(latitude, *LATITUDE_RANGE, bits))
+    lon = _spread_bits(_quantize(longitude, *LONGITUDE_RANGE, bits))
+    # greatest/least skip nulls, so a missing coordinate is handled here, not by clamping.
+    return F.when(
+        latitude.isNotNull() & longitude.isNotNull(), lat.bitwiseOR(F.shiftleft(lon, 1))
+    )
