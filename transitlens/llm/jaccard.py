@@ -21,9 +21,11 @@ evidence and are left out of the block sketches, which keeps a passage that a th
 documents repeat from making one large bucket. This never loses a pair: the bound holds for
 any fixed subset of the shingles, and sets left with too few fall back to single shingles.
 
-Equal sets are one node. A bucket's nodes are first held against its smallest node only; what
-is then still in another component is held against the rest of its bucket. Nothing is listed
-pair by pair in a group of copies, and no link between different sets is missed.
+Equal sets are one node. A bucket's nodes are first held against its smallest node only. Where a
+bucket's nodes are then still in several components, all pairs between components are held
+against the parity bits, a tile of the bucket at a time, and only those that pass are listed.
+Nothing is listed pair by pair in a group of copies, and no link between different sets that
+could join two components is missed.
 
 Nodes are 64-bit set hashes: n distinct sets collide with probability below n**2 / 2**65.
 """
@@ -43,6 +45,7 @@ NUM, DEN = 75, 100
 COMMON = 200
 _SET_BITS = 49
 _SET_MASK = np.uint64((1 << _SET_BITS) - 1)
+TILE = 4096  # nodes of a bucket that are compared at once
 _SEEN = 1 << 18  # nodes a task remembers, to leave out repeats
 
 
@@ -74,8 +77,8 @@ def _sets(piece: pa.RecordBatch, width: int):
 
 
 def _sketches(row: np.ndarray, s: np.ndarray, size: np.ndarray) -> pa.Array:
-    """Parity bits of each set: a power of two of them, at least the set's size and 256."""
-    bits = np.maximum(256, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    """Parity bits of each set: a power of two of them, at least four times its size and 512."""
+    bits = np.maximum(512, 4 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
     ends = np.cumsum(bits)
     at = (ends - bits)[row] + (s & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
     flips = np.bincount(at, minlength=int(ends[-1])) if len(bits) else np.zeros(0, np.int64)
@@ -282,6 +285,70 @@ def _hamming(num: int, den: int):
     return run
 
 
+def _apart(num: int, den: int):
+    """From rows sorted by bucket and pair of tiles: the pairs of nodes of different components
+    whose sizes and parity bits allow a link. A pair that shares a smaller bucket is left to
+    that one where the 64 most frequent smaller buckets of the tiles show it. Holds the rows of
+    two tiles, and compares a strip of them at a time."""
+
+    def pairs(key, center, lo, hi, rows):
+        node, root, n, tile = (np.concatenate([r[i] for r in rows]) for i in range(4))
+        sketches = [x for r in rows for x in r[4]]
+        size = min(len(x) for x in sketches)
+        bits = np.stack([_fold(np.frombuffer(x, np.uint8), size) for x in sketches]).view(np.uint64)
+        lists = [x for r in rows for x in r[5]]
+        owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        others = np.concatenate(lists)
+        owner, others = owner[others < key], others[others < key]
+        names, back, times = np.unique(others, return_inverse=True, return_counts=True)
+        place = np.full(len(names), 64)
+        top = np.argsort(-times, kind="stable")[:64]
+        place[top] = np.arange(len(top))
+        seen = np.zeros(len(node), np.uint64)
+        told = place[back] < 64
+        np.bitwise_or.at(seen, owner[told], np.uint64(1) << place[back][told].astype(np.uint64))
+        for i in range(0, len(node), 256):
+            strip = slice(i, i + 256)
+            far = np.zeros((len(node[strip]), len(node)), np.int64)
+            for w in range(bits.shape[1]):
+                far += np.bitwise_count(bits[strip, w][:, None] ^ bits[None, :, w])
+            both = n[strip][:, None] + n[None, :]
+            least = np.minimum(n[strip][:, None], n[None, :])
+            ok = far <= both * (den - num) // (den + num)
+            ok &= least * den >= (both - least) * num
+            ok &= root[strip][:, None] != root[None, :]
+            ok &= (seen[strip][:, None] & seen[None, :]) == 0
+            ok &= node[strip][:, None] < node[None, :] if lo == hi else (tile[strip] == lo)[:, None] & (tile == hi)[None, :]
+            ok &= (node[strip] != center)[:, None] & (node != center)[None, :]
+            a, b = np.nonzero(ok)
+            a, b = node[strip][a], node[b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches):
+        held, rows = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, center, lo, hi = (batch.column(i).to_numpy() for i in range(4))
+            new = np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
+            starts = np.r_[np.flatnonzero(new), len(key)]
+            for x, y in zip(starts[:-1], starts[1:]):
+                name = (key[x], center[x], lo[x], hi[x])
+                if held is not None and name != held:
+                    yield from pairs(*held, rows)
+                    rows = []
+                held = name
+                part = batch.slice(x, y - x)
+                rows.append(
+                    [part.column(i).to_numpy() for i in range(4, 8)]
+                    + [part.column(8).to_pylist(), [np.asarray(v, np.int64) for v in part.column(9).to_pylist()]]
+                )
+        if held is not None:
+            yield from pairs(*held, rows)
+
+    return run
+
+
 def _whole(width: int, wanted: K.Bitmap):
     """(node, set) of the sets whose node may be wanted."""
 
@@ -401,17 +468,20 @@ def link_components(
         "stars",
     )
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose whole sets are similar enough."""
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sizes and parity bits allow a link."""
         side = nodes.select("node", "n", "sketch")
-        near = saved(
+        return (
             pairs.join(side.toDF("a", "n", "sa"), "a")
             .join(side.toDF("b", "m", "sb"), "b")
             .where((F.least("n", "m") * den) >= (F.greatest("n", "m") * num))
             .select("a", "b", "n", "m", "sa", "sb")
-            .mapInArrow(_hamming(num, den), "a long, b long"),
-            "near",
+            .mapInArrow(_hamming(num, den), "a long, b long")
         )
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose whole sets are similar enough."""
+        near = saved(pairs, "near")
         wanted = bitmap(near.select(F.explode(F.array("a", "b")).alias("x")).distinct(), F.col("x"))
         sets = texts.mapInArrow(_whole(width, wanted), "node long, members array<long>")
         sets = saved(sets.groupBy("node").agg(F.first("members").alias("members")), "members")
@@ -424,36 +494,35 @@ def link_components(
         )
 
     first = stars.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    links = linked(first)
+    links = linked(alike(first))
     roots = connected(links)
 
-    # what is still apart from its bucket's smallest node, against the rest of the bucket
+    # buckets whose nodes are still in several components: all such pairs, tile by tile
     of = saved(roots, "roots")
-    placed = (
-        stars.join(of, "node", "left")
-        .join(of.toDF("center", "center_root"), "center", "left")
-        .withColumn("root", F.coalesce("root", "node"))
-        .withColumn("center_root", F.coalesce("center_root", "center"))
-        .join(nodes.select("node", "n"), "node")
-    )
-    placed = saved(placed.select("key", "node", "root", "center", "center_root", "n"), "placed")
-    apart = placed.where("root <> center_root").select(
-        "key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na")
+    placed = stars.join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = (
+        placed.groupBy("key", "center")
+        .agg(F.count("*").alias("rows"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+        .where("r0 <> r1 AND rows > 2")
+        .select("key", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
     )
-    if not apart.isEmpty():
-        rest = placed.where("node <> center").select(
-            F.col("key").alias("key2"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb")
+    open_ = saved(placed.join(several, "key"), "open")
+    if not open_.isEmpty():
+        listed = open_.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # its own buckets
+        detail = nodes.select("node", "n", "sketch").join(listed.select("node", F.slice("keys", 1, 64).alias("keys")), "node")
+        tiled = open_.withColumn("tile", F.pmod("node", F.col("tiles")).cast("int")).select(
+            "*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+        )
+        tiled = tiled.join(detail, "node").select(
+            "key", "center", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"),
+            "node", "root", "n", "tile", "sketch", "keys",
         )
-        cross = apart.join(
-            rest,
-            (F.col("key") == F.col("key2"))
-            & (F.col("ra") != F.col("rb"))
-            & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num),
+        cross = (
+            tiled.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+            .mapInArrow(_apart(num, den), "a long, b long")
+            .distinct()
         )
-        cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        known_pairs = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = linked(cross.join(known_pairs, ["a", "b"], "left_anti"))
-        of = saved(connected(links.union(more)), "roots")
+        of = saved(connected(links.union(linked(cross))), "roots")
 
     smallest = nodes.join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = smallest.groupBy("root").agg(F.min("least").alias("component_id"))
