@@ -28,6 +28,7 @@ MOST = 3  # times a source, and so a document, may be taken
 SEED = 17
 _BUCKETS = 1024
 _ROUNDS = 4
+_TASK_SLOTS = 1 << 18
 
 
 def permute(p: np.ndarray, n: np.ndarray, key: np.ndarray, inverse: bool = False) -> np.ndarray:
@@ -171,7 +172,8 @@ def mix(
     share a doc_id or a text each get a row. The same rows and seed give the same mix,
     however they are partitioned. Other columns are ignored; an empty table gives no rows.
     """
-    reach(docs.sparkSession)
+    spark = docs.sparkSession
+    reach(spark)
     counted = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.xxhash64("text").alias("text_hash"), "text",
@@ -209,7 +211,10 @@ def mix(
         _draws(block, shard_slots, seed),
         "s long, shard long, first long, slots long, n long, count long, cut long",
     )
-    slots = draws.repartition("s", "shard").select(
+    due = goals.agg(F.sum(F.ceil(F.col("due") / block))).first()[0] or 0
+    # a count of its own, since the few rows here stand for many slots
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-due // _TASK_SLOTS))
+    slots = draws.repartition(parts, "s", "shard").select(
         "s", F.explode(F.sequence("first", F.col("first") + F.col("slots") - 1)).alias("slot"), "n", "count", "cut"
     )
     taken = (
@@ -224,7 +229,7 @@ def mix(
     lo = F.greatest(F.col("begin"), F.col("block") * block)
     hi = lambda end: F.least(F.col("begin") + F.col("size"), F.col("block") * block + end)
     by_doc = (
-        over.join(taken, ["s", "block"])
+        over.join(taken.hint("merge"), ["s", "block"])  # its size can't be told from the few rows it comes from
         .select("s", "begin", (F.col("whole") * (hi(F.lit(block)) - lo) + F.greatest(F.lit(0), hi(F.col("part")) - lo)).alias("words"))
         .groupBy("s", "begin")
         .agg(F.sum("words").alias("taken"))
