@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from transitlens.llm.kernels import Bitmap
 from transitlens.session import scratch_path
 
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CELL = 15  # bits of a position that one row of a map holds
 
 
@@ -21,6 +22,9 @@ def reach(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if root not in paths:
         env["PYTHONPATH"] = ":".join([*paths, root])
+    # batches of whole texts are bounded by bytes, not by 10,000 rows, unless the cluster says how
+    if not spark.sparkContext.getConf().contains(_ARROW_BYTES):
+        spark.conf.set(_ARROW_BYTES, "4m")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-ENTRIES = 1 << 21  # words a task remembers; beyond it, it starts over
+ENTRIES = 1 << 20  # words a task remembers; beyond it, it starts over
 
 
 class WordCache:
