@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import os
 import sys
-import warnings
 from collections.abc import Callable
 from datetime import date
 
@@ -56,7 +55,7 @@ from transitlens import (  # noqa: E402
 from transitlens.functions.columns import compose_datetime  # noqa: E402
 from transitlens.schema import PING_COLUMNS  # noqa: E402
 from transitlens.session import scratch_path  # noqa: E402
-from transitlens.sources.text import parse_lines, split_lines, to_lines  # noqa: E402
+from transitlens.sources.text import read_raw  # noqa: E402
 
 try:
     from transitlens.llm import queries as _llm
@@ -116,63 +115,36 @@ def _pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 
     def build() -> DataFrame:
-        try:
-            path = write_partitioned(
-                _event_pings(spark, sf_dir), scratch_path(spark, "pings-layout")
-            )
-        except Exception as exc:  # noqa: BLE001 - an unwritable scratch folder
-            warnings.warn(f"no normalised layout ({str(exc)[:200]}); querying events directly")
-            return _event_pings(spark, sf_dir)
+        path = write_partitioned(_event_pings(spark, sf_dir), scratch_path(spark, "pings-layout"))
         return load_partitioned(spark, path)
 
     return _memo(spark, ("layout", sf_dir), build)
 
 
-def _raw_text(spark: SparkSession, sf_dir: str) -> str | None:
+def _raw_text(spark: SparkSession, sf_dir: str) -> str:
     """The raw derived pings written once per session as headerless comma text, one folder
     per day (``day=YYYY-MM-DD``), in the shared scratch folder. The source keys read it
-    back through the text sources. ``None`` if the scratch folder cannot be written."""
-
-    def build() -> str | None:
-        try:
-            return write_day_files(
-                _event_pings(spark, sf_dir, clean=False), scratch_path(spark, "raw-day-files")
-            )
-        except Exception as exc:  # noqa: BLE001 - an unwritable scratch folder
-            warnings.warn(f"no text copy ({str(exc)[:200]}); parsing in-memory lines instead")
-            return None
-
-    return _memo(spark, ("text", sf_dir), build)
-
-
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw text lines: read from the written copy, or rendered in memory without it."""
-    base = _raw_text(spark, sf_dir)
-    if base is None:
-        return to_lines(_event_pings(spark, sf_dir, clean=False))
-    return spark.read.text(base)
+    back through the text sources."""
+    return _memo(
+        spark,
+        ("text", sf_dir),
+        lambda: write_day_files(_event_pings(spark, sf_dir, clean=False), scratch_path(spark, "raw-day-files")),
+    )
 
 
 def _scan_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _raw_text(spark, sf_dir)
-    return parse_lines(_lines(spark, sf_dir)) if base is None else load_pings(spark, base)
+    return load_pings(spark, _raw_text(spark, sf_dir))
 
 
 def _ts_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = split_lines(_lines(spark, sf_dir))
+    raw = read_raw(spark, _raw_text(spark, sf_dir))
     return drop_outliers(raw).select(
         "bus_id", "date", "time", compose_datetime(F.col("date"), F.col("time")).alias("datetime")
     )
 
 
 def _scan_day_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _raw_text(spark, sf_dir)
-    if base is None:
-        day = F.col("datetime").cast("date")
-        raw = _event_pings(spark, sf_dir, clean=False)
-        first, last = (F.lit(d.isoformat()).cast("date") for d in DAY_FILES)
-        return parse_lines(to_lines(raw.where((day >= first) & (day <= last))))
-    return load_pings(spark, day_paths(base + "/day=%Y-%m-%d", *DAY_FILES))
+    return load_pings(spark, day_paths(_raw_text(spark, sf_dir) + "/day=%Y-%m-%d", *DAY_FILES))
 
 
 def _with_pings(fn: Callable[[DataFrame], DataFrame], rounded: bool = False):

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 
 import __spark_entry__ as E
+from transitlens.schema import SERVICE_DATE  # noqa: E402
 from transitlens import (
     clock_window,
     full_report,
@@ -53,7 +54,7 @@ def test_csv_scan_gets_box_and_speed_bounds(text_pings):
 def test_parquet_scan_prunes_days_and_pushes_time(parquet_pings):
     df = line_mean(parquet_pings, box=E.BOX, window=E.WINDOW)
     (parts,) = scan_fields(df, "PartitionFilters")
-    assert "service_date" in parts and "2024-01-05" in parts and "2024-01-19" in parts
+    assert SERVICE_DATE in parts and "2024-01-05" in parts and "2024-01-19" in parts
     pushed = " ".join(scan_fields(df, "PushedFilters"))
     assert "GreaterThan(datetime,2024-01-05T00:00)" in pushed
     assert "LessThan(datetime,2024-01-20T00:00)" in pushed
@@ -75,7 +76,7 @@ def test_clock_extent_reads_no_columns_on_partitioned_layout(spark, text_pings,
     )
     from pyspark.sql import functions as F
 
-    df = parquet_pings.agg(F.min("service_date"), F.max("service_date"))
+    df = parquet_pings.agg(F.min(SERVICE_DATE), F.max(SERVICE_DATE))
     assert scan_fields(df, "ReadSchema") == ["struct<>"]
 
 
@@ -116,8 +117,8 @@ def test_plain_layout_write_has_no_shuffle(text_pings):
     from transitlens.functions.columns import service_date
     from pyspark.sql import functions as F
 
-    frame = text_pings.withColumn("service_date", service_date(F.col("datetime"))).sortWithinPartitions(
-        "service_date", "latitude", "longitude", "datetime"
+    frame = text_pings.withColumn(SERVICE_DATE, service_date(F.col("datetime"))).sortWithinPartitions(
+        SERVICE_DATE, "latitude", "longitude", "datetime"
     )
     assert "Exchange" not in plan_text(frame)
 
@@ -186,7 +187,7 @@ def test_preview_reads_only_the_earliest_days_on_partitioned_layout(text_pings,
     order = E.PREVIEW_ORDER
     df = preview(parquet_pings, 20, order)
     (parts,) = scan_fields(df, "PartitionFilters")
-    assert "service_date" in parts and "2024-01-30" not in parts
+    assert SERVICE_DATE in parts and "2024-01-30" not in parts
     got = [tuple(r) for r in df.select(*PING_COLUMNS).collect()]
     want = [tuple(r) for r in preview(text_pings, 20, order).select(*PING_COLUMNS).collect()]
     assert got == want

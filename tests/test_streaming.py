@@ -39,3 +39,16 @@ def test_stream_matches_batch(spark):
     finally:
         obs.stop()
         means.stop()
+
+
+def test_a_restarted_stream_goes_on_where_it_stopped(spark, scratch):
+    from conftest import write_lines
+
+    base, out = scratch("days"), scratch("out")
+    for day in (1, 2):
+        write_lines(spark, f"{base}/day={day}", [f"10-0{day}-2014,08:00:0{i},T{i},1,-22.85,-43.25,0.0" for i in range(3)])
+        stream = read_ping_stream(spark, base + "/day=*")
+        query = start(observation_stream(stream, WINDOW_SPEC, box=E.BOX), f"again{day}", sink="parquet", path=out)
+        query.processAllAvailable()
+        query.stop()
+        assert spark.read.parquet(out).count() == 3 * day

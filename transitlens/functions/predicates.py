@@ -123,19 +123,42 @@ def outlier_condition(max_speed: float = MAX_PLAUSIBLE_SPEED, column: str = "spe
     return F.col(column) <= F.lit(float(max_speed))
 
 
+def day_is_known(df: DataFrame) -> bool:
+    """Whether the layout's day column provably is the day of ``datetime``: both come untouched
+    from one scan of a layout that :func:`~transitlens.sources.parquet.write_partitioned` wrote.
+
+    The analysed plan must have one leaf that puts out both columns under the ids they have in
+    ``df``. A computed ``datetime`` (shifted to another zone, say), a joined or a united frame
+    fails that, and is then answered from all rows without day pruning.
+    """
+    if SERVICE_DATE not in df.columns or "datetime" not in df.columns or not hasattr(df, "_jdf"):
+        return False
+    plan = df._jdf.queryExecution().analyzed()
+    leaves = plan.collectLeaves()
+    if leaves.size() != 1 or not leaves.head().getClass().getSimpleName().startswith("LogicalRelation"):
+        return False
+
+    def ids(output) -> dict[str, str]:
+        names = (output.apply(i) for i in range(output.size()))
+        return {a.name(): a.exprId().toString() for a in names if a.name() in (SERVICE_DATE, "datetime")}
+
+    return ids(plan.output()) == ids(leaves.head().output())
+
+
 def restriction(
     df: DataFrame, box: Box | None = None, window: TimeWindow | None = None
 ) -> Column:
     """One conjunctive predicate for a box, a window or both.
 
     At least one of the two must be given (the only shapes the original program offers).
-    When ``df`` is day-partitioned the window also contributes a partition filter.
+    Where ``df`` provably is the day-partitioned layout (:func:`day_is_known`) the window also
+    contributes a partition filter.
     """
     if box is None and window is None:
         raise ValueError("give a Box, a TimeWindow, or both")
     parts: list[Column] = []
     if window is not None:
-        if SERVICE_DATE in df.columns:
+        if day_is_known(df):
             parts.append(window.partition_condition())
         parts.append(window.condition())
     if box is not None:

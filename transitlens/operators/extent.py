@@ -7,7 +7,7 @@ from datetime import date, datetime, time
 from pyspark.sql import DataFrame, functions as F
 
 from transitlens.functions.columns import date_literal
-from transitlens.functions.predicates import TimeWindow
+from transitlens.functions.predicates import TimeWindow, day_is_known
 from transitlens.schema import DEFAULT_MONTH, DEFAULT_YEAR, SERVICE_DATE
 
 CLOCK_FORMAT = "%H:%M:%S"
@@ -26,7 +26,7 @@ def time_extent(pings: DataFrame) -> DataFrame:
     in those two day partitions, so only those two days are read, not the whole archive.
     """
     ts = F.col("datetime")
-    if SERVICE_DATE in pings.columns:
+    if day_is_known(pings):
         first, last = extent_days(pings)
         day = F.col(SERVICE_DATE)
         if first is None:
@@ -106,7 +106,7 @@ def extent_days(pings: DataFrame) -> tuple[date | None, date | None]:
     On the day-partitioned layout the day is the partition column, which equals the date
     of ``datetime``; aggregating it reads no column data at all (Parquet footers only).
     """
-    if SERVICE_DATE in pings.columns:
+    if day_is_known(pings):
         day = F.col(SERVICE_DATE)
         row = pings.agg(F.min(day), F.max(day)).first()
         return (row[0], row[1]) if row is not None else (None, None)

@@ -20,7 +20,7 @@ from datetime import time
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from transitlens.functions.predicates import Box, TimeWindow
+from transitlens.functions.predicates import Box, TimeWindow, day_is_known
 from transitlens.operators.aggregates import STAT_COLUMNS, line_means_of, stat_columns, stats_of
 from transitlens.operators.extent import clock_window, day_clock_window, day_window
 from transitlens.operators.filters import restrict
@@ -308,7 +308,7 @@ def preview(df: DataFrame, n: int = 20, order: list[str] | None = None) -> DataF
     driver.
     """
     order = list(order or df.columns)
-    if n > 0 and order[0] == "datetime" and SERVICE_DATE in df.columns:
+    if n > 0 and order[0] == "datetime" and day_is_known(df):
         df = df.where(_earliest_days(df, n))
     return df.orderBy(*order).limit(n)
 

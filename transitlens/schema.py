@@ -44,8 +44,9 @@ PING_SCHEMA = T.StructType(
 
 PING_COLUMNS = tuple(f.name for f in PING_SCHEMA.fields)
 
-# Day partition column of the normalised Parquet layout (see sources.parquet).
-SERVICE_DATE = "service_date"
+# Day partition column of the normalised Parquet layout (see sources.parquet): a name of the
+# layout's own, so that a data column such as a feed's service_date is never taken for it.
+SERVICE_DATE = "ping_layout_day"
 
 PARTITIONED_SCHEMA = T.StructType(
     PING_SCHEMA.fields + [T.StructField(SERVICE_DATE, T.DateType(), True)]

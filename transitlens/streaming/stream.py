@@ -5,8 +5,8 @@ unchanged on Spark's file stream source, so a new day file dropped into the fold
 picked up by the next micro-batch. Filters and observation lists are stateless and work
 on the stream as they are; the aggregates (:func:`~transitlens.line_mean`,
 :func:`~transitlens.speed_stats`) run as streaming aggregations in ``complete`` or
-``update`` mode. Stream checkpoints go below the shared ``spark.checkpoint.dir``, so a
-restarted query (or a lost executor) resumes where it stopped.
+``update`` mode. A file sink's checkpoint lies with its output, so a restarted query resumes
+where it stopped.
 """
 
 from __future__ import annotations
@@ -58,13 +58,20 @@ def start(
     path: str | None = None,
     checkpoint: str | None = None,
 ) -> StreamingQuery:
-    """Start ``stream`` into ``sink`` with a checkpoint in the shared scratch folder."""
-    spark = stream.sparkSession
+    """Start ``stream`` into ``sink``.
+
+    A file sink keeps its checkpoint with its output (``<path>/_checkpoint``), so that a query
+    started again on the same output goes on where it stopped. A sink without a path starts
+    anew each time, with a checkpoint in the shared scratch folder. ``checkpoint`` overrides
+    either.
+    """
+    if checkpoint is None:
+        checkpoint = f"{path.rstrip('/')}/_checkpoint" if path else scratch_path(stream.sparkSession, f"stream-{name}")
     writer = (
         stream.writeStream.queryName(name)
         .outputMode(output_mode)
         .format(sink)
-        .option("checkpointLocation", checkpoint or scratch_path(spark, f"stream-{name}"))
+        .option("checkpointLocation", checkpoint)
     )
     if path is not None:
         writer = writer.option("path", path)
