@@ -8,6 +8,9 @@ the buffer, so memory does not grow with a text, except by eight bytes a word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,9 +75,25 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker stays for later tasks, and the
+    executor's memory is shared by all of its workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc: nothing to trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches of at most SLICE_ROWS rows and about SLICE_BYTES of text (one
-    row at least). Null texts become empty."""
+    row at least). Null texts become empty. Frees memory at the end."""
+    try:
+        yield from _slices(batches, column)
+    finally:
+        release()
+
+
+def _slices(batches, column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -10,8 +10,6 @@ once a task, which makes the parse linear and independent of text length.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -109,12 +107,6 @@ def learn(docs: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS, chars: i
 
 
 
-@lru_cache(maxsize=1)
-def _automata(texts: tuple[str, ...]) -> list[SuffixAutomaton]:
-    """Built once a Python worker."""
-    return [SuffixAutomaton(t) for t in texts]
-
-
 def _parse(sample: dict[str, str], carried: tuple[str, ...]):
     langs = list(sample)
 
@@ -133,7 +125,7 @@ def _parse(sample: dict[str, str], carried: tuple[str, ...]):
         names = np.array([*langs, UNKNOWN], dtype=object)
         for piece in K.slices(batches):
             if cache is None:
-                cache = WordCache(work_with(_automata(tuple(sample.values()))), len(langs))
+                cache = WordCache(work_with([SuffixAutomaton(t) for t in sample.values()]), len(langs))
             data, offsets = K.buffers(piece.column("text"))
             h, text, begin, end = K.words(data, offsets, K.ALNUM)
             rows = piece.num_rows
@@ -152,6 +144,8 @@ def _parse(sample: dict[str, str], carried: tuple[str, ...]):
                 ],
                 [*carried, "lang_pred", "score", "phrases_per_byte"],
             )
+        del cache
+        K.release()  # the automata
 
     def none(batches):
         for piece in K.slices(batches):
