@@ -72,6 +72,7 @@ YEAR, MONTH = 2024, 1
 DAY1, DAY2 = 5, 20
 CLOCK1, CLOCK2 = "08:00:00", "17:00:00"
 DAY_FILES = (date(2024, 1, 1), date(2024, 1, 3))
+LISTED_DAYS = ("2024-01-02", "2024-01-01", "2024-01-03")
 SLOW_BELOW, FAST_BOX, FAST_WINDOW, EXACT = 10.0, 50.0, 100.0, 0.0
 
 WINDOW = day_window(DAY1, DAY2, YEAR, MONTH)
@@ -115,7 +116,7 @@ def _pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 
     def build() -> DataFrame:
-        path = write_partitioned(_event_pings(spark, sf_dir), scratch_path(spark, "pings-layout"))
+        path = write_partitioned(_event_pings(spark, sf_dir), scratch_path(spark, "pings-layout"), by_day=True)
         return load_partitioned(spark, path)
 
     return _memo(spark, ("layout", sf_dir), build)
@@ -147,6 +148,13 @@ def _scan_day_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_pings(spark, day_paths(_raw_text(spark, sf_dir) + "/day=%Y-%m-%d", *DAY_FILES))
 
 
+def _clock_window_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clock window whose first and last day are those of the first and last row in the order
+    in which the day files are listed."""
+    pings = load_pings(spark, [f"{_raw_text(spark, sf_dir)}/day={day}" for day in LISTED_DAYS])
+    return _round(speed_stats(pings, window=clock_window(pings, CLOCK1, CLOCK2, extent="file_order")))
+
+
 def _with_pings(fn: Callable[[DataFrame], DataFrame], rounded: bool = False):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = fn(_pings(spark, sf_dir))
@@ -204,6 +212,7 @@ def ping_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "exact_box_window": _with_pings(lambda p: at_speed(p, EXACT, box=BOX, window=WINDOW)),
         "time_extent": _with_pings(time_extent),
         "clock_window_stats": _with_pings(_clock_stats, rounded=True),
+        "clock_window_file_order": _clock_window_file_order,
         "day_window_stats": _with_pings(lambda p: speed_stats(p, window=WINDOW), rounded=True),
         "day_clock_window_stats": _with_pings(
             lambda p: speed_stats(p, window=DAY_CLOCK), rounded=True
@@ -377,6 +386,10 @@ def ping_oracle_sql() -> dict[str, str]:
         "time_extent": _with()
         + "SELECT min(datetime) AS first_datetime, max(datetime) AS last_datetime FROM clean",
         "clock_window_stats": _stats(_CLOCK_SQL, extra=(_CLOCK_EXTENT_SQL,)),
+        "clock_window_file_order": _stats(
+            "CAST(datetime AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-03'",
+            "datetime > TIMESTAMP '2024-01-02 08:00:00' AND datetime < TIMESTAMP '2024-01-03 17:00:00'",
+        ),
         "day_window_stats": _stats(_WINDOW_SQL),
         "day_clock_window_stats": _stats(_DAY_CLOCK_SQL),
         "report_box": _report((_BOX_SQL,), _BOX_REPORT_OBS),

@@ -14,6 +14,9 @@ from transitlens.session import local_session, scratch_path  # noqa: E402
 
 TESTDATA = "/root/testdata"
 
+# the sample of real pings is not part of the repository
+collect_ignore = [] if os.environ.get("TRANSITLENS_SAMPLE") else ["test_golden_sample.py"]
+
 
 @pytest.fixture(scope="session")
 def spark():

@@ -41,6 +41,7 @@ from transitlens.sources import (
     load_partitioned,
     load_pings,
     parse_lines,
+    window_paths,
     write_day_files,
     write_partitioned,
 )
@@ -76,6 +77,7 @@ __all__ = [
     "slower_than",
     "speed_stats",
     "time_extent",
+    "window_paths",
     "write_day_files",
     "write_partitioned",
 ]

@@ -43,8 +43,8 @@ def parse_args(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--box", nargs=4, type=float, metavar=("EAST", "WEST", "NORTH", "SOUTH"))
     p.add_argument("--days", nargs=2, type=int, metavar=("DAY1", "DAY2"))
     p.add_argument("--clock", nargs=2, metavar=("START", "END"), help="HH:MM:SS HH:MM:SS")
-    p.add_argument("--year", type=int, default=DEFAULT_YEAR)
-    p.add_argument("--month", type=int, default=DEFAULT_MONTH)
+    p.add_argument("--year", type=int, help=f"of --days (default {DEFAULT_YEAR})")
+    p.add_argument("--month", type=int, help=f"of --days (default {DEFAULT_MONTH})")
     p.add_argument("--rows", type=int, default=20, help="rows printed per section")
     p.add_argument("--persist", action="store_true", help="cache the restricted rows once")
     p.add_argument("--parquet", action="store_true", help="inputs are the Parquet layout")
@@ -59,7 +59,12 @@ def build_report(spark: SparkSession, args: argparse.Namespace) -> Report:
     else:
         pings = load_pings(spark, args.inputs)
     box = Box(*args.box) if args.box else None
-    ym = dict(year=args.year, month=args.month)
+    if args.days is None and (args.year is not None or args.month is not None):
+        raise SystemExit("--year and --month say which month --days means; give --days with them")
+    ym = dict(
+        year=DEFAULT_YEAR if args.year is None else args.year,
+        month=DEFAULT_MONTH if args.month is None else args.month,
+    )
     shape = (box is not None, args.days is not None, args.clock is not None)
     if shape == (True, False, False):
         return box_report(pings, box, persist=args.persist)

@@ -61,8 +61,9 @@ def clock_window(
 
     ``extent="range"`` (default) takes the days of the smallest and largest ``datetime``
     (:func:`extent_days`). ``extent="file_order"`` takes the first and the last row in
-    input order (files in name order, rows in file order), as the original program did;
-    that answer depends on how the files and rows are ordered.
+    input order, as the original program did: paths in the order they were given, the files
+    of one folder in name order, rows in file order. It needs a frame over one text scan;
+    any other frame has no input order and is a ``ValueError``.
     """
     start_clock, end_clock = parse_clock(clock_start), parse_clock(clock_end)
     if extent == "range":
@@ -78,23 +79,53 @@ def clock_window(
     )
 
 
+def _text_location(pings: DataFrame):
+    """File index of the one text scan that ``pings`` is made from."""
+    leaves = pings._jdf.queryExecution().analyzed().collectLeaves()
+    leaf = leaves.head() if leaves.size() == 1 else None
+    if leaf is not None and leaf.getClass().getSimpleName().startswith("LogicalRelation"):
+        relation = leaf.relation()
+        if relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.fileFormat().getClass().getSimpleName() in (
+            "CSVFileFormat",
+            "TextFileFormat",
+        ):
+            return relation.location()
+    raise ValueError("extent='file_order' needs pings read from text day files in one scan")
+
+
 def _file_order_days(pings: DataFrame) -> tuple[date | None, date | None]:
-    """Dates of the first and last row in input order: files in name order (day files are
-    named by date), rows in their place within the file.
+    """Dates of the first and last row in input order: listed paths in their order, files of
+    a listed folder by name, rows by their place in the file.
 
     ``head()``/``tail()`` would follow Spark's split order, which packs the largest files
-    first, so this is one global aggregate instead: ``min_by``/``max_by`` over (file name,
-    per-row position), partially aggregated in every task. The position id grows with the
-    row's offset inside a file, since one file's splits keep their offset order.
+    first, so each file's first and last row come from ``min_by``/``max_by`` over a per-row
+    position, partially aggregated in every task, and the files' rows are then ordered by
+    the listed path. The position grows with the row's offset inside a file, since one
+    file's splits keep their offset order.
     """
-    key = F.struct(
-        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("pos")
+    location = _text_location(pings)
+    roots = location.rootPaths()
+    listed = F.array(*[F.lit(roots.apply(i).toUri().getRawPath()) for i in range(roots.size())])
+    # a cached frame no longer knows its files; with a single file that does not matter
+    unknown = F.lit(1 if len(location.inputFiles()) == 1 else 0)
+
+    rows = pings.select(
+        "datetime",
+        F.regexp_replace(F.input_file_name(), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "").alias("file"),
+        F.monotonically_increasing_id().alias("pos"),
+    )  # evaluated at the scan
+    files = rows.groupBy("file").agg(
+        F.min_by("datetime", "pos").alias("first"), F.max_by("datetime", "pos").alias("last")
     )
-    ordered = pings.select("datetime", key.alias("_order"))  # evaluated at the scan
-    ts, order = F.col("datetime"), F.col("_order")
-    row = ordered.agg(F.min_by(ts, order), F.max_by(ts, order), F.count(F.lit(1))).first()
-    if row is None or row[2] == 0:
+    file = F.col("file")
+    under = F.transform(listed, lambda root: (file == root) | file.startswith(F.concat(root, F.lit("/"))))
+    place = F.when(file == "", unknown).otherwise(F.array_position(under, F.lit(True)).cast("int"))
+    files = files.select("first", "last", F.struct(place.alias("place"), "file").alias("key"))
+    row = files.agg(F.min_by("first", "key"), F.max_by("last", "key"), F.min("key")["place"]).first()
+    if row[2] is None:
         return None, None
+    if row[2] == 0:
+        raise ValueError("extent='file_order' cannot tell the files of these pings; give them uncached")
     if row[0] is None or row[1] is None:
         raise ValueError("the first or last row in input order has no datetime")
     return row[0].date(), row[1].date()

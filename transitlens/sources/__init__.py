@@ -13,6 +13,7 @@ from transitlens.sources.text import (
     read_raw,
     split_lines,
     to_lines,
+    window_paths,
     write_day_files,
 )
 
@@ -29,6 +30,7 @@ __all__ = [
     "read_raw",
     "split_lines",
     "to_lines",
+    "window_paths",
     "write_day_files",
     "write_partitioned",
 ]

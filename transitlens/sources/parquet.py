@@ -37,6 +37,7 @@ def write_partitioned(
     path: str,
     mode: str = "errorifexists",
     compact: bool = False,
+    by_day: bool = False,
     num_partitions: int | None = None,
     max_records_per_file: int = 5_000_000,
     compression: str = "zstd",
@@ -48,11 +49,17 @@ def write_partitioned(
     By default there is no shuffle: every input split (bounded by
     ``spark.sql.files.maxPartitionBytes``) sorts its own rows and writes one file per day
     it holds, so no task ever receives more than one split, however the rows are skewed.
-    For time-ordered day files that is about one file per split.
+    For time-ordered day files that is about one file per split. Input that is not ordered by
+    time would give splits x days files; use ``by_day`` or ``compact`` for it.
+
+    ``by_day=True`` rebalances by day first: adaptive execution merges small days into one
+    task and cuts a day above ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` into
+    several, so unordered input gives about one file per day and a hot day is still shared
+    out. One shuffle of the data, no count and no sampling.
 
     ``compact=True`` range-partitions first, so each day is cut into few, position-sorted
-    files even when the input is unordered. ``num_partitions`` ranges default to the
-    number of input splits, so each sorting task gets about one split's worth of rows. The range key ends with a per-row id, so a group of
+    files even when the input is unordered. Without ``num_partitions`` the shuffle partition
+    count applies, merged by adaptive execution. The range key ends with a per-row id, so a group of
     identical rows (a parked vehicle's repeated pings, duplicated files) is still cut
     across ranges instead of landing in one task. The id depends only on the input split
     and the row's place in it, so a retried task recomputes the same ranges.
@@ -69,13 +76,13 @@ def write_partitioned(
     """
     if position_order not in POSITION_ORDERS:
         raise ValueError(f"position_order must be one of {sorted(POSITION_ORDERS)}")
+    if compact and by_day:
+        raise ValueError("give compact or by_day, not both")
     frame = pings.select(*PING_COLUMNS).withColumn(SERVICE_DATE, service_date(F.col("datetime")))
     file_order = [SERVICE_DATE, *POSITION_ORDERS[position_order], "datetime"]
     if position_order == "zorder":
         frame = frame.withColumn("_position", position_key(F.col("latitude"), F.col("longitude")))
     if compact:
-        if num_partitions is None:
-            num_partitions = _input_splits(frame)
         frame = frame.withColumn("_row", F.monotonically_increasing_id())
         key = [*file_order, "_row"]
         ranged = (
@@ -85,6 +92,8 @@ def write_partitioned(
         )
         frame = ranged.sortWithinPartitions(*key).drop("_row")
     else:
+        if by_day:
+            frame = frame.hint("rebalance", SERVICE_DATE)
         frame = frame.sortWithinPartitions(*file_order)
     frame = frame.drop("_position")
     (
@@ -98,20 +107,12 @@ def write_partitioned(
     return path
 
 
-def _input_splits(frame: DataFrame) -> int | None:
-    """Number of partitions of the planned input (no job runs), or ``None`` where the
-    session cannot tell (Spark Connect)."""
-    try:
-        return max(1, frame.rdd.getNumPartitions())
-    except Exception:  # noqa: BLE001
-        return None
-
-
 def load_partitioned(spark: SparkSession, path: str) -> DataFrame:
     """Read the day-partitioned layout (schema declared, partition column typed ``date``).
 
-    The day pruning of windows, extents and previews relies on ``service_date`` being the
-    calendar day of ``datetime`` in every row, which :func:`write_partitioned` guarantees.
-    Do not point this at a layout partitioned by another rule (for example by upload day).
+    The day pruning of windows, extents and previews relies on ``ping_layout_day`` being the
+    calendar day of ``datetime`` in every row, which :func:`write_partitioned` guarantees. A
+    frame derived from this one keeps the pruning only while both columns are untouched
+    (:func:`~transitlens.functions.predicates.day_is_known`).
     """
     return spark.read.schema(PARTITIONED_SCHEMA).parquet(path)

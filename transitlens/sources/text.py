@@ -14,7 +14,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from transitlens.functions.columns import compose_datetime
-from transitlens.functions.predicates import outlier_condition
+from transitlens.functions.predicates import TimeWindow, outlier_condition
 from transitlens.schema import (
     DATE_FORMAT,
     MAX_PLAUSIBLE_SPEED,
@@ -47,6 +47,16 @@ def day_paths(template: str, first: date, last: date) -> list[str]:
     return [(first + timedelta(days=i)).strftime(template) for i in range((last - first).days + 1)]
 
 
+def window_paths(template: str, window: TimeWindow) -> list[str]:
+    """The day files that can hold a row of ``window``, for :func:`day_paths` templates.
+
+    Use it where file names are the days of their rows, as in the original program: only
+    these files are read (``load_pings(spark, window_paths(...))``, then the window itself).
+    """
+    days = window.day_range()
+    return day_paths(template, *days) if days else []
+
+
 def read_raw(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Typed raw rows of one or more day files, read in a single scan (a bag union: files
     are concatenated, duplicates kept).
@@ -136,20 +146,27 @@ def load_pings(
 def line_expr() -> Column:
     """The raw text line of a ping-table row.
 
-    Null fields become empty fields, so a null stays null after a round trip. Doubles use
-    Spark's round-tripping text, so the values read back are bit-identical.
+    Null fields become empty fields: null numbers and times read back as null, null ids as
+    empty text. Doubles use Spark's round-tripping text, so the values read back are
+    bit-identical. Times are written to the second; a fraction is dropped. An id or line with
+    a comma or a line break cannot be told from two fields or lines and fails the job.
     """
 
     def text(c: Column) -> Column:
         return F.coalesce(c.cast("string"), F.lit(""))
 
+    def plain(name: str) -> Column:
+        c = F.col(name)
+        wrong = F.raise_error(F.concat(F.lit(f"{name} holds a comma or a line break: "), c)).cast("string")
+        return F.when(c.rlike("[,\\r\\n]"), wrong).otherwise(text(c))
+
     ts = F.col("datetime")
     return F.concat_ws(
         ",",
         F.coalesce(F.date_format(ts, DATE_FORMAT), F.lit("")),
         F.coalesce(F.date_format(ts, TIME_FORMAT), F.lit("")),
-        text(F.col("bus_id")),
-        text(F.col("bus_line")),
+        plain("bus_id"),
+        plain("bus_line"),
         text(F.col("latitude")),
         text(F.col("longitude")),
         text(F.col("speed")),
