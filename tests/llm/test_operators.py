@@ -168,6 +168,21 @@ def test_token_counts_equal_the_library(spark, odd_docs, no_docs):
 # ------------------------------------------------------------------------ op4 language
 
 
+@pytest.mark.parametrize("rows", [1, 5, 64, 1000])
+def test_the_language_sample_is_the_smallest_hashes(spark, rows):
+    r = random.Random(rows)
+    h = [-(1 << 63), -(1 << 63) + 1, -1, 0, 1, (1 << 63) - 1]
+    h += [r.choice([-1, 1]) * r.getrandbits(r.choice([3, 40, 63])) for _ in range(500)]
+    pairs = {(lang, i, x) for i, x in enumerate(h) for lang in ("aa", "bb") if lang == "aa" or i % 7 == 0}
+    pairs |= {("aa", 1000 + i, -5) for i in range(90)} | {("one", 7, 3)}
+    got = langid._smallest(spark.createDataFrame(sorted(pairs), "lang string, doc_id long, h long"), rows)
+    want = []
+    for lang in ("aa", "bb", "one"):
+        first = sorted((x, i) for n, i, x in pairs if n == lang)[:rows]
+        want += [(lang, i, at) for at, (_, i) in enumerate(first, 1)]
+    assert rows_of(got, "lang", "doc_id", "r") == sorted(want)
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
