@@ -192,11 +192,15 @@ def contamination(
         .groupBy("key")
         .agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
     )
-    hit = covered.join(named, "key", "left").select(
-        "key",
-        "n_hit",
-        F.coalesce(F.size("ids"), F.lit(0)).alias("n_items"),
-        F.array_join(F.coalesce("ids", F.array().cast("array<string>")), ",").alias("listed"),
+    # a table of its own, so that the copies of one text are no fixed partition of the last join
+    hit = saved(
+        covered.join(named, "key", "left").select(
+            "key",
+            "n_hit",
+            F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
+            F.sha2(F.array_join(F.coalesce("ids", F.array().cast("array<string>")), ","), 256).alias("listed"),
+        ),
+        "hits",
     )
     return (
         scan.where(F.col("token").isNull())
@@ -207,7 +211,7 @@ def contamination(
             "n_words",
             F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
             F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-            F.sha2(F.coalesce("listed", F.lit("")), 256).alias("items_sha256"),
+            F.coalesce("listed", F.sha2(F.lit(""), 256)).alias("items_sha256"),
             (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
             "text_hash",
         )
