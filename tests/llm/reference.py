@@ -64,3 +64,17 @@ def contamination(rows, items):
         listed = hashlib.sha256(",".join(found).encode()).hexdigest()
         out.append((doc_id, len(w), len(hit), len(found), listed, bool(hit)))
     return out
+
+
+def targets(sizes, weights=(1, 2, 3), most=3):
+    """{source: words} -> {source: target}: shares by weight, capped sources' excess reshared."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    out: dict = {}
+    while len(out) < len(names):
+        rest = sum(sizes.values()) - sum(out.values())
+        free = [s for s in names if s not in out]
+        total = sum(w[s] for s in free)
+        full = [s for s in free if rest * w[s] > most * sizes[s] * total]
+        out |= {s: most * sizes[s] for s in full} if full else {s: rest * w[s] / total for s in free}
+    return out

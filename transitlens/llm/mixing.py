@@ -28,6 +28,9 @@ MOST = 3  # times a source, and so a document, may be taken
 SEED = 17
 _BUCKETS = 1024
 _ROUNDS = 4
+_CLASSES = 8  # size classes from a length to its double
+_SCALE_BITS = 24
+_SCALE = 1 << _SCALE_BITS  # a whole copy, in the sums of shares
 _TASK_SLOTS = 1 << 18
 
 
@@ -241,22 +244,63 @@ def mix(
     )
 
 
+def _rounded(units: DataFrame, seed: int) -> DataFrame:
+    """``units`` (source_key, size, share, h, doc_id, text_hash) with the copies of each: its
+    share (copies due, a fraction, times _SCALE), rounded so that the running sum of copies
+    of a source never strays a whole copy from that of shares. A seeded offset a source makes
+    the expected copies the share itself. The sums run from short to long texts, so the words
+    of a source stray by about one long text.
+
+    As in :func:`mix`, no window sees a whole source: sums go by size class, by hash bucket
+    inside a class, and then along a bucket."""
+    units = units.withColumn("class", F.floor(F.log2("size") * _CLASSES)).withColumn("bucket", F.pmod("h", F.lit(_BUCKETS)))
+    sums = saved(units.groupBy("source_key", "class", "bucket").agg(F.sum("share").alias("in_bucket")), "shares")
+    by_class = Window.partitionBy("source_key").orderBy("class")  # some hundred rows each
+    classes = sums.groupBy("source_key", "class").agg(F.sum("in_bucket").alias("in_class"))
+    classes = classes.select("source_key", "class", (F.sum("in_class").over(by_class) - F.col("in_class")).alias("shorter"))
+    by_bucket = Window.partitionBy("source_key", "class").orderBy("bucket")  # at most _BUCKETS rows each
+    before = sums.select(
+        "source_key", "class", "bucket", (F.sum("in_bucket").over(by_bucket) - F.col("in_bucket")).alias("offset")
+    ).join(classes, ["source_key", "class"])
+    inside = (
+        Window.partitionBy("source_key", "class", "bucket").orderBy("h", "doc_id", "text_hash")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    start = F.pmod(F.xxhash64("source_key", F.lit(seed)), F.lit(_SCALE))
+    upto = start + F.col("shorter") + F.col("offset") + F.col("along")
+    return units.withColumn("along", F.sum("share").over(inside)).join(before, ["source_key", "class", "bucket"]).withColumn(
+        "copies", F.shiftright(upto, _SCALE_BITS) - F.shiftright(upto - F.col("share"), _SCALE_BITS)
+    )
+
+
 def mixed(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` in the mix, a row as many times as the mix takes its words
-    (rounded; documents taken by less than half, and those without words, go)."""
-    rate = F.sum("taken") / F.sum("size")  # rows that repeat whole share their takes
-    copies = (
+    """The rows of ``docs`` in the mix, a row as many times as the mix takes its words. Rows
+    are taken whole, so the copies are rounded, along each source (:func:`_rounded`): the
+    words of a source are its target give or take about one long text, and texts of every
+    length are taken at the source's rate. Texts without words go."""
+    key = ["doc_id", "source_key", "text_hash"]
+    seed = settings.get("seed", SEED)
+    units = (
         mix(docs, **settings).where("size > 0")
-        .groupBy("doc_id", "source_key", "text_hash")
-        .agg(F.floor(rate + 0.5).cast("int").alias("copies"))
-        .where("copies > 0")
+        .groupBy(*key)  # rows that repeat whole share their takes
+        .agg(F.count(F.lit(1)).alias("rows"), F.max("size").alias("size"), F.sum("taken").alias("taken"))
+        .withColumn("share", F.expr(f"taken div size * {_SCALE} + taken % size * {_SCALE} div size"))
+        .withColumn("h", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text_hash", F.lit(seed + 1)))
+    )
+    copies = saved(
+        _rounded(saved(units, "units"), seed).where("copies > 0")
+        .select(*key, F.expr("copies div rows").alias("each"), F.expr("copies % rows").alias("more")),
+        "copies",
     )
     tagged = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"),
         F.col("doc_id").cast("long").alias("i"), _key(F.col("source").cast("string")).alias("k"), F.xxhash64("text").alias("h"),
     )
-    found = tagged.join(
-        saved(copies, "copies"),
-        F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("source_key")) & (F.col("h") == F.col("text_hash")),
-    )
-    return found.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+    same = F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("source_key")) & (F.col("h") == F.col("text_hash"))
+    found = tagged.join(copies.where("more = 0"), same).select("row", F.col("each").alias("n"))
+    uneven = copies.where("more > 0")
+    if not uneven.isEmpty():  # among rows that repeat, some are taken once more
+        nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(F.to_json("row"))))
+        spread = tagged.join(uneven, same).select("row", (F.col("each") + (nth <= F.col("more")).cast("long")).alias("n"))
+        found = found.union(spread.where("n > 0"))
+    return found.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("row.*")
