@@ -1,7 +1,14 @@
-"""Secret scans: candidates by shape, false positives removed by a random forest.
+"""Secret scans: candidates by shape and context, false positives removed by a random forest.
 
-A candidate is a run of 16 or more letters, digits and ``+/_-`` that holds a digit or has no
-lower-case letter. A random forest, trained from labelled findings, gives each the probability
+Candidates are
+
+* runs of 16 or more letters, digits and ``+/_-``, unless they hold no digit and are one plain
+  word or words in lower case (``Donaudampfschifffahrt``, ``some-lower-case-slug``);
+* whatever is assigned to a name of credentials (``password=hunter2``, ``"token": "x!y"``), of any
+  length and characters;
+* words beside a name of credentials that are no plain word or number (``password hunter2``).
+
+A random forest, trained from labelled findings, gives each the probability
 that it is a secret. Its features are the candidate's length, its shares of and transitions
 between kinds of characters, how much of it dictionary words cover, the path it was found under
 and the words around it. The dictionary holds the most frequent words of the texts themselves.
@@ -20,6 +27,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from transitlens.llm.tables import saved
 
 RUN = "[A-Za-z0-9+/_-]{16,}"
+CREDENTIAL = "(?:pass(?:word|wd|wort|phrase|code)|pwd|token|secret|credential|(?:api|access|auth|private|signing)[_-]?key)"
+#: a name of credentials, a sign that assigns, and what is assigned (1), to the closing quote if it is quoted
+_ASSIGNED = f"(?i){CREDENTIAL}[A-Za-z0-9_.-]*[\"'`\\])]*[=:]+>?(\"+[^\"]+|'+[^']+|`+[^`]+|[^\"'`][^\"`]*)"
+#: a word that ends in such a name, so that what it names stands beside it
+_NAMES = f"(?i){CREDENTIAL}[a-z0-9_.-]*[\"'`\\])]*[=:]*[\"'`]*$"
+#: no digit, and no upper-case letter but the first
+_PLAIN = "^[A-Z]?[^A-Z0-9]*$"
 DICTIONARY = 200  # words
 NEIGHBOURS = 128  # hashed places for the words around
 FINDINGS = 20_000  # labelled findings to train from
@@ -27,32 +41,64 @@ TREES, DEPTH, SEED = 24, 8, 7
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _NUMERIC = (
     "f_length", "f_digits", "f_upper", "f_lower", "f_hex", "f_kinds", "f_turns", "f_sounds",
-    "f_distinct", "f_words", "f_depth", "f_test", "f_assigned", "f_quoted",
+    "f_distinct", "f_words", "f_depth", "f_test", "f_assigned", "f_quoted", "f_named",
 )
 
 
+def _quoted(pattern: str) -> str:
+    """A pattern as a literal in SQL."""
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, path, word_no, candidate, before, key, after: every candidate of every whole
-    text, with the two words before it, what stands before it in its own word, and the next."""
-    words = docs.select("doc_id", "path", F.split("text", r"\s+").alias("words"))
+    """doc_id, path, word_no, candidate, before, key, after, named: every candidate of every
+    whole text, with the two words before it, what stands before it in its own word, the next,
+    and whether a name of credentials beside it made it one or would have. Numbered in a word: runs, then other values."""
+    words = docs.select(
+        "doc_id", "path", F.split("text", r"\s+").alias("words"), F.col("text").rlike(f"(?i){CREDENTIAL}").alias("names")
+    )
+    # what the words around say is only asked of texts that name credentials at all
+    beside = (
+        "(coalesce(get(words, i - 1) RLIKE names_, false) OR coalesce(get(words, i + 1) RLIKE names_, false) OR "
+        "(coalesce(get(words, i - 1) RLIKE '^[=:]+>?$', false) AND coalesce(get(words, i - 2) RLIKE names_, false)))"
+    ).replace("names_", _quoted(_NAMES))
     found = words.select(
         "doc_id",
         "path",
         F.explode(
             F.expr(
-                "transform(filter(sequence(0, size(words) - 1), i -> octet_length(words[i]) >= 16 "
-                f"AND words[i] RLIKE '{RUN}' AND (words[i] RLIKE '[0-9]' OR NOT words[i] RLIKE '[a-z]')), "
+                "transform(filter(sequence(0, size(words) - 1), i -> "
+                f"(octet_length(words[i]) >= 16 AND words[i] RLIKE '{RUN}') "
+                f"OR (names AND (words[i] RLIKE {_quoted(_ASSIGNED)} OR {beside}))), "
                 "i -> struct(i AS word_no, words[i] AS word, get(words, i - 2) AS w2, get(words, i - 1) AS w1, "
-                "get(words, i + 1) AS after))"
+                f"get(words, i + 1) AS after, names AND {beside} AS beside))"
             )
         ).alias("x"),
     ).select("doc_id", "path", "x.*")
-    runs = found.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(f"({RUN})"), F.lit(1))).alias("run_no", "candidate"))
-    runs = runs.where(F.col("candidate").rlike("[0-9]") | ~F.col("candidate").rlike("[a-z]"))
+    strip = lambda c: F.regexp_replace(c, r"""^[\s"'`(\[{<=:]+|[\s"'`)\]}>,;:.]+$""", "")
+    runs = F.regexp_extract_all("word", F.lit(f"({RUN})"), F.lit(1))
+    values = F.transform(F.regexp_extract_all("word", F.lit(_ASSIGNED), F.lit(1)), strip)
+    assigned_before = F.coalesce(F.col("w1").rlike("[=:]>?[\"'`]*$"), F.lit(False))
+    whole = strip(F.regexp_replace("word", r"""^[(\[{<]*(["'`])\1*(.+?)\1.*$""", "$2"))
+    # a word that an assignment before it names counts whatever its shape, any other if it is no plain word or number
+    plain_word = whole.rlike(_PLAIN) | whole.rlike(r"^[\d.,:/-]*$") | whole.rlike(_NAMES)
+    near = F.col("beside") & (assigned_before | ~plain_word) & ~F.col("word").rlike(_ASSIGNED)
+    values = F.concat(values, F.when(near, F.array(whole)).otherwise(F.array().cast("array<string>")))
+    listed = F.concat(
+        F.transform(runs, lambda c: F.struct(c.alias("candidate"), F.lit(False).alias("named"))),
+        F.transform(
+            F.filter(F.array_except(values, runs), lambda c: c != ""),
+            lambda c: F.struct(c.alias("candidate"), F.lit(True).alias("named")),
+        ),
+    )
+    shaped = F.col("candidate").rlike("[0-9]") | ~F.col("candidate").rlike(_PLAIN) | ~F.col("candidate").rlike("[a-z]")
+    runs = found.withColumn("values", values).select("*", F.posexplode(listed).alias("run_no", "x")).select("*", "x.*")
+    runs = runs.withColumn("named", F.col("named") | F.array_contains("values", F.col("candidate")))
+    runs = runs.where(F.col("named") | shaped)
     key = F.lower(F.regexp_extract("word", r"^[^A-Za-z0-9]*([A-Za-z][A-Za-z_-]*)[=:]", 1))
     plain = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}=:]", "")
     return runs.select(
-        "doc_id", "path", "word_no", "run_no", "candidate", "word",
+        "doc_id", "path", "word_no", "run_no", "candidate", "word", "named",
         F.array(plain(F.col("w2")), plain(F.col("w1"))).alias("before"), key.alias("key"), plain(F.col("after")).alias("after"),
     )
 
@@ -88,6 +134,7 @@ def features(found: DataFrame, known: list[str]) -> DataFrame:
         path.rlike("test|example|sample|mock|doc").cast("double").alias("f_test"),
         (F.col("word").rlike("[=:]") | F.element_at("before", -1).rlike("[=:]$")).cast("double").alias("f_assigned"),
         F.col("word").rlike("[\"'`]").cast("double").alias("f_quoted"),
+        F.col("named").cast("double").alias("f_named"),
         F.filter(F.concat(F.col("before"), F.array("key", "after")), lambda w: w != "").alias("around"),
     )
 
@@ -105,10 +152,14 @@ def train(findings: DataFrame) -> PipelineModel:
 
 def known_secret() -> Column:
     """A labelling rule where no reviewed findings are at hand: the shape of an access key id,
-    or random-looking characters assigned to a name that says what they are."""
-    named = F.concat_ws(" ", F.array_join("before", " "), "key").rlike("password|passwd|token|secret|api_?key")
-    random = F.col("candidate").rlike("^[0-9a-f]+$|[0-9].*[A-Za-z].*[0-9]")
-    return F.col("candidate").rlike("^AKIA[0-9A-Z]{16}$") | (named & random & (F.col("f_assigned") == 1))
+    or characters assigned to a name of credentials that are random-looking or, short of that,
+    no plain word or number."""
+    c = F.col("candidate")
+    names = F.concat_ws(" ", F.array_join("before", " "), "key").rlike("password|passwd|token|secret|api_?key")
+    random = c.rlike("^[0-9a-f]+$|[0-9].*[A-Za-z].*[0-9]")
+    mixed = c.rlike("[A-Za-z]") & (c.rlike("[0-9]") | ~c.rlike(_PLAIN) | c.rlike("[a-z][!@#$%^&*?][A-Za-z]"))
+    assigned = F.col("f_assigned") == 1
+    return c.rlike("^AKIA[0-9A-Z]{16}$") | (assigned & ((names & random) | (F.col("named") & mixed)))
 
 
 def scan(
