@@ -3,7 +3,7 @@
 For each language a suffix automaton holds every substring of a sample of its labelled text.
 A text is parsed against it: the longest match from here is a phrase, and the next one starts
 behind it. Text of the same language needs few, long phrases; the language that needs the
-fewest phrases a byte wins. Phrases end with words (a word is parsed with the gap before and
+fewest phrases, times the logarithm of its sample's length, wins. Phrases end with words (a word is parsed with the gap before and
 after it), so a text's phrases are the sum over its words and each distinct word is parsed
 once a task, which makes the parse linear and independent of text length.
 """
@@ -83,6 +83,20 @@ def _tokenised(texts: list[str]) -> str:
     return " ".join(raw[a:b].decode("utf-8", "replace").lower() for a, b in zip(begin, end))
 
 
+def _share(parts: list[str], chars: int) -> str:
+    """The parts joined, each cut to an equal share of the characters (whole words where a
+    share holds one); what short parts leave goes to the others."""
+    parts = [p for p in parts if p]
+    left, lengths = chars, sorted(len(p) + 1 for p in parts)
+    for i, n in enumerate(lengths):
+        if n * (len(lengths) - i) > left:
+            most = max(left // (len(lengths) - i) - 1, 1)
+            parts = [p if len(p) <= most else (p[: most + 1].rpartition(" ")[0] or p[:most]) for p in parts]
+            break
+        left -= n
+    return " ".join(parts)[:chars]
+
+
 def _smallest(pairs: DataFrame, rows: int) -> DataFrame:
     """Of (lang, doc_id, h) the ``rows`` of the smallest h for each language, and their rank r.
 
@@ -102,8 +116,8 @@ def _smallest(pairs: DataFrame, rows: int) -> DataFrame:
 
 def learn(docs: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
     """Sample text per language: of the rows that may be learnt from and have a language and
-    a text, the ``rows`` with the smallest hash of their doc_id for each language, cut at
-    ``chars`` characters. Only (id, language) pairs are ranked; texts are read for the chosen
+    a text, the ``rows`` with the smallest hash of their doc_id for each language, each with
+    an equal share of ``chars`` characters. Only (id, language) pairs are ranked; texts are read for the chosen
     ids. What reaches the driver is rows * chars characters a language at most."""
     able = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     chosen = _smallest(able.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct(), rows)
@@ -115,13 +129,14 @@ def learn(docs: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS, chars: i
     texts: dict[str, list[str]] = {}
     for lang, _, text in cut.orderBy("lang", "r").collect():
         texts.setdefault(lang, []).append(text)
-    # one length for all, so that no language is favoured by more evidence
-    joined = {lang: _tokenised(parts) for lang, parts in texts.items()}
-    return {lang: f" {text[:chars]} " for lang, text in sorted(joined.items())}
+    return {lang: f" {_share([_tokenised([t]) for t in parts], chars)} " for lang, parts in sorted(texts.items())}
 
 
 def _parse(sample: dict[str, str], carried: tuple[str, ...]):
     langs = list(sample)
+    # the longest match in n characters grows as log n (Ziv and Merhav), so phrases count by it:
+    # no language is favoured by more labelled text
+    cost = np.log2([max(len(t), 2) for t in sample.values()])
 
     def work_with(automata: list[SuffixAutomaton]):
         def work(words: list[bytes]) -> np.ndarray:
@@ -145,15 +160,16 @@ def _parse(sample: dict[str, str], carried: tuple[str, ...]):
             n = per_text(cache.look_up(h, data, begin, end), text, rows)
             size = np.bincount(text, end - begin, minlength=rows)
             fine = piece.column("lettered").to_numpy(zero_copy_only=False) & (size > 0)
-            best = n.argmin(axis=1)  # ties: the first language by code point
-            weight = 1.0 / np.maximum(n, 1)
+            spent = n * cost
+            best = spent.argmin(axis=1)  # ties: the first language by code point
+            weight = 1.0 / np.maximum(spent, cost.min())
             score = weight[np.arange(rows), best] / weight.sum(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
                     *[piece.column(c) for c in carried],
                     pa.array(names[np.where(fine, best, len(langs))], pa.string()),
                     pa.array(np.where(fine, score, 0.0)),
-                    pa.array(np.where(fine, n.min(axis=1) / np.maximum(size, 1), 0.0)),
+                    pa.array(np.where(fine, n[np.arange(rows), best] / np.maximum(size, 1), 0.0)),
                 ],
                 [*carried, "lang_pred", "score", "phrases_per_byte"],
             )
@@ -178,7 +194,7 @@ def held_out_rows() -> Column:
 
 def identify(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score (0 to 1: the winner's share of inverse phrase
-    counts) and phrases_per_byte (the cross-parsing entropy estimate).
+    counts, each times the logarithm of the sample's length) and phrases_per_byte (the cross-parsing entropy estimate).
 
     Learns from the rows that aren't held out, have a doc_id, a language and a text with a
     letter. A null text, and one without a letter, gets ``und`` and score 0; so does every
