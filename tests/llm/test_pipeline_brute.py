@@ -1,0 +1,67 @@
+"""The pipeline against plain versions of its stages, with a hot source, long texts and copies."""
+
+from __future__ import annotations
+
+import random
+from collections import Counter
+
+import reference
+
+import corpus_pipeline
+from transitlens.llm import mixing
+
+ITEM = "seven tall ships sail past the old harbour wall at dawn every single day"
+
+
+def rows_of_every_kind():
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9)))
+    known = [word() for _ in range(4000)]
+    rows = []
+    for i in range(260):
+        words = [r.choice(known) for _ in range(int(10 ** r.uniform(0.8, 3.3)))]
+        if i % 23 == 5:  # a benchmark passage, at the very end of long ones too
+            words += ITEM.split()
+        rows.append((i, " ".join(words), "en", r.choice(["a"] * 12 + ["b"] * 4 + ["c"] * 3 + ["d"])))
+    for i in range(260, 330):  # copies and near copies, in sources of their own choice
+        words = rows[r.randrange(260)][1].split()
+        if i % 2 and len(words) > 60:
+            words[r.randrange(len(words))] = "changed"
+        rows.append((i, " ".join(words), "en", r.choice("abcd")))
+    return rows + [(400, None, "en", "a"), (401, "", "en", "b"), (402, "123 456 !!", "en", "c")]
+
+
+def test_pipeline_equals_plain_stages(spark, scratch, make_docs):
+    rows = rows_of_every_kind()
+    at = scratch("brute")
+    make_docs(rows).repartition(5).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+
+    kept = {i: (text, source) for i, text, _, source in rows if any(c.isalpha() for c in text or "")}
+    parts = reference.components([(i, text) for i, (text, _) in kept.items()])
+    first = {i for i, _, least in parts if i == least}
+    assert len(kept) - len(first) > 50
+    leaks = {i for i, *_, hit in reference.contamination([(i, kept[i][0]) for i in first], [(1, ITEM)]) if hit}
+    assert len(leaks) > 8
+    clean = first - leaks
+    size = {i: len(kept[i][0].split()) for i in clean}
+    source: Counter = Counter()
+    for i in clean:
+        source[kept[i][1]] += size[i]
+    goal = reference.targets(source)
+
+    out = corpus_pipeline.run(spark, at).collect()
+    copies = Counter(r.doc_id for r in out)
+    assert set(copies) <= clean
+    assert all((r.text, r.source) == kept[r.doc_id] for r in out)
+    longest = max(size.values())
+    for s, target in goal.items():
+        got = sum(size[i] * n for i, n in copies.items() if kept[i][1] == s)
+        assert abs(got - target) <= 1.25 * longest, (s, got, target)
+        if target == mixing.MOST * source[s]:  # capped: every text as often as allowed
+            assert all(copies[i] == mixing.MOST for i in clean if kept[i][1] == s)
+    assert goal["a"] < 0.5 * source["a"]
+    long = [i for i in clean if kept[i][1] == "a" and size[i] >= 500]
+    share = sum(size[i] * copies[i] for i in long) / sum(size[i] for i in long)
+    assert abs(share - goal["a"] / source["a"]) * sum(size[i] for i in long) <= 1.25 * longest
+    assert len({(r.shard, r.slot) for r in out}) == len(out)
