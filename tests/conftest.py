@@ -38,9 +38,3 @@ def scratch(spark):
         return scratch_path(spark, f"test-{name}")
 
     return make
-
-
-def write_lines(spark, path: str, lines: list[str]) -> str:
-    """Write raw text lines as one day file (a folder with one part file)."""
-    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
-    return path

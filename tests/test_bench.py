@@ -7,7 +7,7 @@ import os
 import subprocess
 import sys
 
-from conftest import ROOT
+from helpers import ROOT
 
 import __spark_entry__ as E
 

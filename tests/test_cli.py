@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import write_lines
+from helpers import write_lines
 from test_source import ROWS
 
 from transitlens.__main__ import main

@@ -7,7 +7,7 @@ import statistics
 from datetime import datetime
 
 import pytest
-from conftest import write_lines
+from helpers import write_lines
 
 from transitlens import (
     Box,

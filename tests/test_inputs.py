@@ -6,7 +6,7 @@ from collections import Counter
 from datetime import datetime
 
 import pytest
-from conftest import write_lines
+from helpers import write_lines
 from pyspark.sql import functions as F
 
 from transitlens import (

@@ -7,7 +7,7 @@ import math
 from datetime import datetime, time
 
 import pytest
-from conftest import write_lines
+from helpers import write_lines
 from pyspark.sql import functions as F
 from test_source import ROWS
 

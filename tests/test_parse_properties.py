@@ -6,7 +6,7 @@ from __future__ import annotations
 import math
 from datetime import datetime
 
-from conftest import write_lines
+from helpers import write_lines
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 

@@ -7,7 +7,7 @@ import subprocess
 import sys
 import tempfile
 
-from conftest import ROOT
+from helpers import ROOT
 
 SCRIPT = """
 import sys

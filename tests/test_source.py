@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date, datetime
 
 import pytest
-from conftest import write_lines
+from helpers import write_lines
 from pyspark.sql import functions as F
 
 from transitlens import PING_SCHEMA, day_paths, load_pings, write_day_files

@@ -42,7 +42,7 @@ def test_stream_matches_batch(spark):
 
 
 def test_a_restarted_stream_goes_on_where_it_stopped(spark, scratch):
-    from conftest import write_lines
+    from helpers import write_lines
 
     base, out = scratch("days"), scratch("out")
     for day in (1, 2):
