@@ -9,7 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from transitlens.llm import decontaminate, jaccard, langid, mixing, quality, secrets, sharding, tokens, topk, toxicity
+from transitlens.llm import (
+    decontaminate, jaccard, langid, mixing, periodic, quality, secrets, sharding, tokens, topk, toxicity,
+)
 from transitlens.llm.labelled import fold
 from transitlens.llm.tables import table
 
@@ -59,10 +61,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("text_hash")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.find_runs(periodic.looped(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_exact_topk, op2_secret_scan, op3_token_counts, op4_language_id, op5_source_mix,
         op6_jaccard_join, op7_ring_shards, op8_toxicity, op9_quality, op10_decontamination,
+        op13_periodic_runs,
     )
     return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
