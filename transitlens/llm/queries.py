@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from transitlens.llm import (
-    decontaminate, jaccard, langid, mixing, periodic, quality, secrets, sharding, tokens, topk, toxicity,
+    decontaminate, jaccard, langid, mixing, negatives, periodic, quality, secrets, sharding, tokens, topk, toxicity,
 )
 from transitlens.llm.labelled import fold
 from transitlens.llm.tables import table
@@ -61,6 +61,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("text_hash")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("long").alias("vec_id"),
+        F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        negatives.minable(F.col("embedding")).alias("vec"),
+    )
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.find_runs(periodic.looped(table(spark, sf_dir, "documents"))))
 
@@ -69,7 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_exact_topk, op2_secret_scan, op3_token_counts, op4_language_id, op5_source_mix,
         op6_jaccard_join, op7_ring_shards, op8_toxicity, op9_quality, op10_decontamination,
-        op13_periodic_runs,
+        op11_hard_negatives, op13_periodic_runs,
     )
     return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
@@ -92,6 +102,33 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 ) WHERE rank <= 5
 """
 
+_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         CAST(list_dot_product(a.vec, c.vec) AS BIGINT) AS score
+  FROM v a JOIN v c ON c.vec_id <> a.vec_id AND len(c.vec) = len(a.vec)
+  WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place
+  FROM s WHERE same
+), n AS (
+  SELECT anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s USING (anchor_id)
+  WHERE place <= 5 AND NOT same
+    AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 3
+"""
+
 _JACCARD = f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
@@ -149,5 +186,5 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL expresses. The others hold a trained model, a
     tokenizer's merges, a seeded draw or a CRC; their tests compare them with brute force,
     the library itself or held-out labels."""
-    known = {"op1_exact_topk": _TOPK, "op6_jaccard_join": _JACCARD, "op10_decontamination": _LEAKS}
+    known = {"op1_exact_topk": _TOPK, "op6_jaccard_join": _JACCARD, "op10_decontamination": _LEAKS, "op11_hard_negatives": _NEGATIVES}
     return known | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
