@@ -1,0 +1,104 @@
+"""Graph search: recall against brute force, exact scores, ties, and that no row is lost."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from transitlens.llm import queries, vamana
+
+
+def plain(rows, k=5, step=50):
+    """{query: [(score, id), ...]} of all candidates, best first."""
+    rows = [(i, v) for i, v in rows if i is not None and v is not None]
+    out = {}
+    for qi in sorted({i for i, _ in rows if i % step == 0}):
+        q = min(v for i, v in rows if i == qi)
+        some = sorted({(i, tuple(v)) for i, v in rows if i != qi and len(v) == len(q)})
+        if not some:
+            continue
+        c = vamana.scaled(np.array([v for _, v in some], dtype=float))
+        a = np.repeat(vamana.scaled(np.array([q], dtype=float)), len(c), axis=0)
+        score = vamana.cosine(a, c)
+        out[qi] = sorted(((-s, i) for s, (i, _) in zip(score.tolist(), some)))[:k]
+    return {q: [(-s, i) for s, i in some] for q, some in out.items()}
+
+
+def found(df, **settings):
+    out: dict = {}
+    for r in sorted(vamana.nearest(df, F.col("vec_id") % 50 == 0, **settings).collect(), key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append((r.score, r.vec_id))
+        assert r["rank"] == len(out[r.query_id])
+    return out
+
+
+def recall(got, want):
+    assert set(got) == set(want) and all(len(got[q]) == len(want[q]) for q in want)
+    return np.mean([len({i for _, i in got[q]} & {i for _, i in want[q]}) / len(want[q]) for q in want])
+
+
+def rows_of(df):
+    return [(r.vec_id, r.vec) for r in df.select("vec_id", "vec").collect()]
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall_of_the_query(spark, size):
+    sf_dir = f"/root/testdata/{size}"
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", vamana.usable(F.col("embedding")).alias("vec"))
+    want = plain(rows_of(df))
+    got: dict = {}
+    for r in queries.op12_graph_search(spark, sf_dir).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    assert recall(got, want) >= 0.97
+    exact = {(q, i): s for q, some in want.items() for s, i in some}
+    assert all(s == exact[q, i] for q, some in got.items() for s, i in some if (q, i) in exact)
+    if size == "sf0.01":  # shards of a few hundred rows, and the same rows in another order
+        assert recall(found(df, shard_rows=150, query_block=4), want) >= 0.97
+        assert found(df.orderBy(F.desc("vec_id")).repartition(5)) == got
+
+
+def test_copies_ties_and_odd_rows(spark):
+    """A third of the rows is one vector; small shards are searched whole, so results are exact."""
+    r = random.Random(8)
+    hot = [0.25, -0.5, 1.0]
+    rows = [(i, hot if i % 3 == 0 else [r.randint(-3, 3) + 0.5 for _ in range(3)]) for i in range(400)]
+    rows += [(1000, None), (1050, [0.0, 0.0, 0.0]), (1001, [1.0, None, 0.0]), (1002, [float("nan"), 1.0, 0.0]), (1003, [float("inf"), 1.0, 0.0])]
+    rows += [(None, hot), (1100, [1.0, 2.0]), (1101, [2.0, 1.0]), (1150, []), (1200, [1e300, 1e300, -1e300]), (1201, [5e-324, 0.0, 0.0])]
+    rows += [(1250, [1.0] * 5), (50, [9.0, 9.0, 9.0]), (50, [9.0, 9.0, 9.0]), (7, [0.5, 0.5, 0.5]), (7, hot)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df = df.select("vec_id", vamana.usable(F.col("embedding")).alias("vec"), F.lit(1.0).alias("score"), F.lit(0).alias("shard"))
+    assert {x.vec_id for x in df.where("vec IS NULL").collect()} == {1000, 1050, 1001, 1002, 1003, 1150}
+    want = plain(rows_of(df))
+    assert found(df, search_beam=400) == want
+    assert found(df, search_beam=400, shard_rows=40, query_block=3, degree=4, beam=16) == want
+    assert found(df.limit(0)) == {} and found(df.where("vec_id IN (50, 1250)")).keys() == set()
+    with pytest.raises(ValueError):
+        vamana.nearest(df, F.col("vec_id") == 0, search_beam=5)
+
+
+@pytest.mark.parametrize("degree", [2, 8])
+def test_every_node_is_reached_and_edges_differ(degree):
+    r = np.random.default_rng(degree)
+    x = vamana._unit(np.concatenate([r.normal(size=(600, 6)), r.normal(size=(1, 6)) + 0.01 * r.normal(size=(300, 6))]))
+    graph = vamana.Graph.build(x, degree, 24, 1.2)
+    assert graph._reached().all()
+    for node, edges in enumerate(graph.edges):
+        edges = edges[edges >= 0]
+        assert len(set(edges.tolist())) == len(edges) and node not in edges
+    at, near = graph.search(x[:50], 900)
+    assert all(sorted(row[row >= 0].tolist()) == list(range(900)) for row in at)
+    assert (np.diff(near, axis=1) <= 0).all()
+
+
+def test_relaxed_pruning_keeps_diverse_edges():
+    """Of candidates in two directions, the nearest of each stays and those behind them go."""
+    angle = np.radians([0.0, 5.0, 6.0, 30.0, 31.0, -8.0, -9.0])
+    x = np.stack([np.cos(angle), np.sin(angle)], axis=1).astype(np.float32)
+    graph = vamana.Graph(x, degree=4)
+    some = np.arange(1, 7, dtype=np.int32)[None, :]
+    near = (x[0] @ x[1:].T)[None, :].astype(np.float32)
+    assert graph._pruned(np.array([0]), some, near, 1.0)[0].tolist() == [1, 5, -1, -1]
+    assert graph._pruned(np.array([0]), some, near, 1.25)[0].tolist() == [1, 5, 3, -1]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 from transitlens.llm import (
     decontaminate, jaccard, langid, mixing, negatives, periodic, quality, secrets, sharding, tokens, topk, toxicity,
+    vamana,
 )
 from transitlens.llm.labelled import fold
 from transitlens.llm.tables import table
@@ -71,6 +72,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
 
 
+def op12_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", vamana.usable(F.col("embedding")).alias("vec"))
+    return vamana.nearest(rows, F.col("vec_id") % 50 == 0)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.find_runs(periodic.looped(table(spark, sf_dir, "documents"))))
 
@@ -79,7 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_exact_topk, op2_secret_scan, op3_token_counts, op4_language_id, op5_source_mix,
         op6_jaccard_join, op7_ring_shards, op8_toxicity, op9_quality, op10_decontamination,
-        op11_hard_negatives, op13_periodic_runs,
+        op11_hard_negatives, op12_graph_search, op13_periodic_runs,
     )
     return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
