@@ -10,6 +10,8 @@ from __future__ import annotations
 import decimal
 import math
 import numbers
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import date, datetime, time, timedelta
 
@@ -133,16 +135,56 @@ def day_is_known(df: DataFrame) -> bool:
     """
     if SERVICE_DATE not in df.columns or "datetime" not in df.columns or not hasattr(df, "_jdf"):
         return False
-    plan = df._jdf.queryExecution().analyzed()
-    leaves = plan.collectLeaves()
-    if leaves.size() != 1 or not leaves.head().getClass().getSimpleName().startswith("LogicalRelation"):
+    relation = _one_file_relation(df)
+    if relation is None or SERVICE_DATE not in list(relation.relation().partitionSchema().fieldNames()):
         return False
 
     def ids(output) -> dict[str, str]:
         names = (output.apply(i) for i in range(output.size()))
         return {a.name(): a.exprId().toString() for a in names if a.name() in (SERVICE_DATE, "datetime")}
 
-    return ids(plan.output()) == ids(leaves.head().output())
+    return ids(df._jdf.queryExecution().analyzed().output()) == ids(relation.output())
+
+
+def _one_file_relation(df: DataFrame):
+    """The one leaf of the analysed plan, if it is a scan of files."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    leaf = leaves.head() if leaves.size() == 1 else None
+    if leaf is None or not leaf.getClass().getSimpleName().startswith("LogicalRelation"):
+        return None
+    return leaf if leaf.relation().getClass().getSimpleName() == "HadoopFsRelation" else None
+
+
+_DAY_FOLDER = re.compile(rf"{SERVICE_DATE}=([^/\s,)]+)")
+
+
+def layout_days(df: DataFrame) -> list[date | None]:
+    """The days that the layout under ``df`` has a folder with files for, in order; None first,
+    for rows without a time.
+
+    They come from the file listing that the frame already holds: no job, no file is opened, and
+    one line a day reaches Python. A folder's files may hold no row, and ``df`` may filter rows,
+    so a listed day is only a candidate. Needs :func:`day_is_known`.
+    """
+    folders = _one_file_relation(df).relation().location().partitionSpec().partitions().mkString("\n")
+    found = set(_DAY_FOLDER.findall(folders))
+    days: list[date | None] = [None] if found - (dated := {x for x in found if x[:1].isdigit()}) else []
+    return days + sorted(date.fromisoformat(x) for x in dated)
+
+
+def growing_groups(days: list[date]) -> Iterator[list[date]]:
+    """``days`` in groups of 1, 2, 4, ... in the given order: looking for rows from one end then
+    takes few jobs, and reads about twice the days up to the first row at most."""
+    lo, size = 0, 1
+    while lo < len(days):
+        yield days[lo : lo + size]
+        lo, size = lo + size, 2 * size
+
+
+def in_days(days: list[date], column: str = SERVICE_DATE) -> Column:
+    """Rows of a group of consecutive listed days, as a range that prunes partitions."""
+    day = F.col(column)
+    return (day >= date_literal(min(days))) & (day <= date_literal(max(days)))
 
 
 def restriction(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime, time
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from transitlens.functions.columns import date_literal
-from transitlens.functions.predicates import TimeWindow, day_is_known
+from transitlens.functions.predicates import TimeWindow, day_is_known, growing_groups, in_days, layout_days
 from transitlens.schema import DEFAULT_MONTH, DEFAULT_YEAR, SERVICE_DATE
 
 CLOCK_FORMAT = "%H:%M:%S"
@@ -21,9 +22,9 @@ def time_extent(pings: DataFrame) -> DataFrame:
     answer (the file-order one is ``clock_window(..., extent="file_order")``). Null on
     empty input. A global aggregate: each task sends one partial row.
 
-    On the day-partitioned layout the first and last days are found first from partition
-    values alone (one small job, no column data read). The minimum and maximum then lie
-    in those two day partitions, so only those two days are read, not the whole archive.
+    On the day-partitioned layout the first and last days are found first from the folder
+    names (:func:`extent_days`). The minimum and maximum then lie in those two day partitions,
+    so only those two days are read, not the whole archive.
     """
     ts = F.col("datetime")
     if day_is_known(pings):
@@ -132,21 +133,36 @@ def _file_order_days(pings: DataFrame) -> tuple[date | None, date | None]:
 
 
 def extent_days(pings: DataFrame) -> tuple[date | None, date | None]:
-    """First and last calendar day of the data (one single-row job).
+    """First and last calendar day of the data.
 
-    On the day-partitioned layout the day is the partition column, which equals the date
-    of ``datetime``; aggregating it reads no column data at all (Parquet footers only).
+    On the day-partitioned layout the candidates are the days that have a folder, taken from the
+    file listing without a job. The first and the last of them that hold a row are looked for from
+    either end, in growing groups of days: usually one row of one file a side, however many days
+    the archive has. Elsewhere it is one single-row aggregate over the data.
     """
     if day_is_known(pings):
-        day = F.col(SERVICE_DATE)
-        row = pings.agg(F.min(day), F.max(day)).first()
-        return (row[0], row[1]) if row is not None else (None, None)
+        days = [d for d in layout_days(pings) if d is not None]
+        first = _first_with_rows(pings, days, F.min)
+        return (first, _first_with_rows(pings, days[::-1], F.max)) if first is not None else (None, None)
     row = time_extent(pings).first()
     if row is None or row[0] is None or row[1] is None:
         return None, None
     return row[0].date(), row[1].date()
 
 
+def _first_with_rows(pings: DataFrame, days: list[date], end: Callable[[Column], Column]) -> date | None:
+    """The first of ``days`` (ascending with ``end`` min, descending with max) that holds a row."""
+    for group in growing_groups(days):
+        rows = pings.where(in_days(group))
+        if len(group) == 1:
+            found = None if rows.isEmpty() else group[0]
+        else:
+            found = rows.agg(end(F.col(SERVICE_DATE))).first()[0]
+        if found is not None:
+            return found
+    return None
+
+
 def day_window(
     day1: int | str, day2: int | str, year: int = DEFAULT_YEAR, month: int = DEFAULT_MONTH
 ) -> TimeWindow:

@@ -20,7 +20,7 @@ from datetime import time
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from transitlens.functions.predicates import Box, TimeWindow, day_is_known
+from transitlens.functions.predicates import Box, TimeWindow, day_is_known, growing_groups, in_days, layout_days
 from transitlens.operators.aggregates import STAT_COLUMNS, line_means_of, stat_columns, stats_of
 from transitlens.operators.extent import clock_window, day_clock_window, day_window
 from transitlens.operators.filters import restrict
@@ -303,9 +303,9 @@ def preview(df: DataFrame, n: int = 20, order: list[str] | None = None) -> DataF
 
     On the day-partitioned layout, when the order starts with ``datetime``, only the
     earliest days that together hold ``n`` rows are read. Rows without a time sort first,
-    and a later day's rows all come after an earlier day's. The per-day counts come from
-    one small job over partition values and Parquet footers: one row per day reaches the
-    driver.
+    and a later day's rows all come after an earlier day's. The days come from the folder
+    names; rows are counted from the earliest day on, in growing groups of days, until ``n``
+    are found, so the files opened grow with ``n`` and not with the archive.
     """
     order = list(order or df.columns)
     if n > 0 and order[0] == "datetime" and day_is_known(df):
@@ -316,15 +316,14 @@ def preview(df: DataFrame, n: int = 20, order: list[str] | None = None) -> DataF
 def _earliest_days(df: DataFrame, n: int) -> Column:
     """Condition selecting the day partitions that can hold the first ``n`` rows by time."""
     day = F.col(SERVICE_DATE)
-    counts = df.groupBy(day).count().collect()
-    undated = sum(r["count"] for r in counts if r[SERVICE_DATE] is None)
-    if undated >= n:
-        return day.isNull()
-    total, last = undated, None
-    for row in sorted((r for r in counts if r[SERVICE_DATE] is not None), key=lambda r: r[0]):
-        total, last = total + row["count"], row[SERVICE_DATE]
+    days = layout_days(df)
+    total = df.where(day.isNull()).limit(n).count() if None in days else 0
+    last = None
+    for group in growing_groups([d for d in days if d is not None]):
         if total >= n:
             break
-    if last is None:
-        return day.isNull()
-    return day.isNull() | (day <= date_literal(last))
+        counts = {r[0]: r[1] for r in df.where(in_days(group)).groupBy(day).count().collect()}  # a row a day
+        for d in group:
+            if total < n:
+                total, last = total + counts.get(d, 0), d
+    return day.isNull() if last is None else day.isNull() | (day <= date_literal(last))

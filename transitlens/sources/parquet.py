@@ -44,7 +44,7 @@ def write_partitioned(
     row_group_bytes: int = 32 * 1024 * 1024,
     position_order: str = "latitude",
 ) -> str:
-    """Write pings to ``path/service_date=YYYY-MM-DD/*.parquet``.
+    """Write pings to ``path/ping_layout_day=YYYY-MM-DD/*.parquet``.
 
     By default there is no shuffle: every input split (bounded by
     ``spark.sql.files.maxPartitionBytes``) sorts its own rows and writes one file per day
