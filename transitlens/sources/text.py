@@ -23,6 +23,12 @@ from transitlens.schema import (
     TIME_FORMAT,
 )
 
+# Besides decimal numbers, these spellings are numbers in a speed or a position.
+# ``Infinity`` and ``NaN`` may carry a sign and blanks around them; the short forms stand as they
+# are. Any other word is no number (null). Both readers follow this one rule.
+POSITIVE_INFINITY, NEGATIVE_INFINITY = "inf", "-inf"
+NUMBER_WORDS = r"^[\x00-\x20]*[+-]?(Infinity|NaN)[\x00-\x20]*$"
+
 # Plain ``str.split(",")`` semantics: no quoting, no escaping, no comments.
 CSV_OPTIONS = {
     "sep": ",",
@@ -32,6 +38,8 @@ CSV_OPTIONS = {
     "mode": "PERMISSIVE",
     "multiLine": "false",
     "encoding": "UTF-8",
+    "positiveInf": POSITIVE_INFINITY,
+    "negativeInf": NEGATIVE_INFINITY,
 }
 
 
@@ -71,6 +79,14 @@ def read_raw(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return spark.read.options(**CSV_OPTIONS).schema(RAW_SCHEMA).csv(list(paths))
 
 
+def number(text: Column) -> Column:
+    """A text field as a double by the rule of the CSV source (see ``NUMBER_WORDS``); anything
+    that is no number gives null. A cast alone would read more spellings of infinity than the
+    source does (``-INF``, `` infinity``); every one of them has an ``n``."""
+    word = text.isin(POSITIVE_INFINITY, NEGATIVE_INFINITY) | text.rlike(NUMBER_WORDS)
+    return F.when(~text.rlike("[nN]") | word, text.try_cast("double"))
+
+
 def split_lines(lines: DataFrame, column: str = "value", strict: bool = False) -> DataFrame:
     """Raw rows from a one-string-column frame of text lines (``spark.read.text``).
 
@@ -82,7 +98,7 @@ def split_lines(lines: DataFrame, column: str = "value", strict: bool = False) -
     for i, name in enumerate(RAW_FIELDS):
         field = F.get(parts, i)
         if RAW_SCHEMA[name].dataType.typeName() == "double":
-            field = field.try_cast("double")
+            field = number(field)
         if strict and name == "speed":
             # The check rides on ``speed``: every query reads it (the outlier filter), so
             # column pruning can never drop the check.
