@@ -221,6 +221,9 @@ def ping_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "report_clock": _with_pings(
             lambda p: clock_report(p, CLOCK1, CLOCK2).long(), rounded=True
         ),
+        "report_clock_text": lambda spark, d: _round(
+            clock_report(load_pings(spark, _raw_text(spark, d)), CLOCK1, CLOCK2).long()
+        ),
         "report_days": _with_pings(
             lambda p: days_report(p, DAY1, DAY2, YEAR, MONTH).long(), rounded=True
         ),
@@ -394,6 +397,7 @@ def ping_oracle_sql() -> dict[str, str]:
         "day_clock_window_stats": _stats(_DAY_CLOCK_SQL),
         "report_box": _report((_BOX_SQL,), _BOX_REPORT_OBS),
         "report_clock": _report((_CLOCK_SQL,), _WINDOW_REPORT_OBS, extra=(_CLOCK_EXTENT_SQL,)),
+        "report_clock_text": _report((_CLOCK_SQL,), _WINDOW_REPORT_OBS, extra=(_CLOCK_EXTENT_SQL,)),
         "report_days": _report((_WINDOW_SQL,), _WINDOW_REPORT_OBS),
         "report_day_clock": _report((_DAY_CLOCK_SQL,), _WINDOW_REPORT_OBS),
         "report_all": _report((_BOX_SQL, _DAY_CLOCK_SQL), _WINDOW_REPORT_OBS),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ def formatter(text):
     return F.when(F.try_to_timestamp(text, fmt).isNotNull(), F.to_timestamp_ntz(text, fmt))
 
 
-@settings(max_examples=15, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
+@settings(max_examples=15, phases=[Phase.generate], deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
 @given(texts=st.lists(st.one_of(usual, usual, odd, st.text(digit, max_size=20)), min_size=1, max_size=60))
 def test_equals_the_formatter(spark, texts):
     df = spark.createDataFrame([(t.replace("\\n", "\n"),) for t in [*texts, ""]] + [(None,)], "t string")

@@ -94,42 +94,61 @@ def _text_location(pings: DataFrame):
     raise ValueError("extent='file_order' needs pings read from text day files in one scan")
 
 
-def _file_order_days(pings: DataFrame) -> tuple[date | None, date | None]:
-    """Dates of the first and last row in input order: listed paths in their order, files of
-    a listed folder by name, rows by their place in the file.
+def file_ends(pings: DataFrame, columns: list) -> tuple[DataFrame, list[Column]]:
+    """(``datetime``, ``file``, ``pos`` and ``columns`` of every row; aggregates that give a group's
+    first and last row as ``first`` and ``last``), for frames over one text scan.
 
     ``head()``/``tail()`` would follow Spark's split order, which packs the largest files
-    first, so each file's first and last row come from ``min_by``/``max_by`` over a per-row
-    position, partially aggregated in every task, and the files' rows are then ordered by
-    the listed path. The position grows with the row's offset inside a file, since one
-    file's splits keep their offset order.
+    first, so first and last rows come from ``min_by``/``max_by`` over a per-row position,
+    partially aggregated in every task. The position grows with the row's offset inside a
+    file, since one file's splits keep their offset order.
     """
-    location = _text_location(pings)
-    roots = location.rootPaths()
-    listed = F.array(*[F.lit(roots.apply(i).toUri().getRawPath()) for i in range(roots.size())])
-    # a cached frame no longer knows its files; with a single file that does not matter
-    unknown = F.lit(1 if len(location.inputFiles()) == 1 else 0)
-
+    _text_location(pings)
     rows = pings.select(
         "datetime",
         F.regexp_replace(F.input_file_name(), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "").alias("file"),
         F.monotonically_increasing_id().alias("pos"),
+        *columns,
     )  # evaluated at the scan
-    files = rows.groupBy("file").agg(
-        F.min_by("datetime", "pos").alias("first"), F.max_by("datetime", "pos").alias("last")
-    )
+    row = F.struct("datetime")  # never null itself, so a row without a time counts as a row
+    return rows, [
+        F.min_by(row, "pos").alias("first"),
+        F.max_by(row, "pos").alias("last"),
+        F.min("pos").alias("first_pos"),
+        F.max("pos").alias("last_pos"),
+    ]
+
+
+def listed_order_days(pings: DataFrame, ends: DataFrame) -> tuple[date | None, date | None]:
+    """Dates of the first and last row in input order: listed paths in their order, files of
+    a listed folder by name, rows by their place in the file. ``ends`` has the columns of
+    :func:`file_ends` by file and any other key."""
+    location = _text_location(pings)
+    roots = location.rootPaths()
+    listed = F.array(*[F.lit(roots.apply(i).toUri().getRawPath()) for i in range(roots.size())])
+    # a cached frame no longer knows its files; with a single file that does not matter
+    unknown = F.lit(1 if len(location.inputFiles()) == 1 else 0)
     file = F.col("file")
     under = F.transform(listed, lambda root: (file == root) | file.startswith(F.concat(root, F.lit("/"))))
     place = F.when(file == "", unknown).otherwise(F.array_position(under, F.lit(True)).cast("int"))
-    files = files.select("first", "last", F.struct(place.alias("place"), "file").alias("key"))
-    row = files.agg(F.min_by("first", "key"), F.max_by("last", "key"), F.min("key")["place"]).first()
+    key = lambda pos: F.struct(place.alias("place"), "file", pos)
+    row = ends.agg(
+        F.min_by("first", key("first_pos")), F.max_by("last", key("last_pos")), F.min(place)
+    ).first()
     if row[2] is None:
         return None, None
     if row[2] == 0:
         raise ValueError("extent='file_order' cannot tell the files of these pings; give them uncached")
-    if row[0] is None or row[1] is None:
+    first, last = row[0]["datetime"], row[1]["datetime"]
+    if first is None or last is None:
         raise ValueError("the first or last row in input order has no datetime")
-    return row[0].date(), row[1].date()
+    return first.date(), last.date()
+
+
+def _file_order_days(pings: DataFrame) -> tuple[date | None, date | None]:
+    """:func:`listed_order_days` from one pass over the rows."""
+    rows, ends = file_ends(pings, [])
+    return listed_order_days(pings, rows.groupBy("file").agg(*ends))
 
 
 def extent_days(pings: DataFrame) -> tuple[date | None, date | None]:

@@ -22,9 +22,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from transitlens.functions.predicates import Box, TimeWindow, day_is_known, growing_groups, in_days, layout_days
 from transitlens.operators.aggregates import STAT_COLUMNS, line_means_of, stat_columns, stats_of
-from transitlens.operators.extent import clock_window, day_clock_window, day_window
+from transitlens.operators.extent import clock_window, day_clock_window, day_window, parse_clock
 from transitlens.operators.filters import restrict
 from transitlens.functions.columns import date_literal
+from transitlens.plans.clock import ClockPartials
 from transitlens.schema import DEFAULT_MONTH, DEFAULT_YEAR, OBSERVATION_COLUMNS, SERVICE_DATE
 
 LONG_SCHEMA = T.StructType(
@@ -83,19 +84,23 @@ class Report(Mapping):
     """Sections of one report by name (``stats``, ``line_means``, ``slow``, ``exact``,
     ``fast``), each a lazy DataFrame."""
 
-    def __init__(self, base: DataFrame, spec: ReportSpec, persisted: bool) -> None:
+    def __init__(
+        self, base: DataFrame, spec: ReportSpec, persisted: bool, partials: ClockPartials | None = None
+    ) -> None:
+        """``partials`` has the aggregates of ``base`` where they are known already."""
         self._base = base
         self.spec = spec
         self.persisted = persisted
+        self._partials = partials
         self._names = spec.section_names()
         self._built: dict[str, DataFrame] = {}
 
     def _build(self, name: str) -> DataFrame:
         base = self._base
         if name == STATS:
-            return stats_of(base)
+            return self._partials.stats() if self._partials else stats_of(base)
         if name == LINE_MEANS:
-            return line_means_of(base)
+            return self._partials.line_means() if self._partials else line_means_of(base)
         cond = dict(self.spec.observation_conditions())[name]
         return base.where(cond).select(*OBSERVATION_COLUMNS)
 
@@ -115,11 +120,12 @@ class Report(Mapping):
     def long(self) -> DataFrame:
         """All sections stacked: ``section`` plus the union of the section columns (see
         :data:`LONG_SCHEMA`), missing values as typed nulls."""
-        parts = [
-            p
-            for p in (aggregate_rows(self._base, self.spec), observation_rows(self._base, self.spec))
-            if p is not None
-        ]
+        if self._partials:
+            known = [n for n in (LINE_MEANS, STATS) if n in self._names]
+            parts = [self[n].withColumn("section", F.lit(n)) for n in known]
+        else:
+            parts = [aggregate_rows(self._base, self.spec)]
+        parts = [p for p in (*parts, observation_rows(self._base, self.spec)) if p is not None]
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part, allowMissingColumns=True)
@@ -245,9 +251,17 @@ def clock_report(
 ) -> Report:
     """R2: first day of the data at ``clock_start`` to its last day at ``clock_end``;
     statistics, line means, stopped (speed 0), faster than 100. ``extent`` as in
-    :func:`~transitlens.operators.extent.clock_window`."""
-    window = clock_window(pings, clock_start, clock_end, extent=extent)
-    return report(pings, window=window, spec=WINDOW_SPEC, persist=persist)
+    :func:`~transitlens.operators.extent.clock_window`.
+
+    On the day-partitioned layout the extent costs no pass. Elsewhere (text, say) it comes with
+    the statistics and line means from one pass (:class:`~transitlens.plans.clock.ClockPartials`),
+    and the observation sections read the rows once more: two passes for the long form."""
+    if persist or day_is_known(pings):
+        window = clock_window(pings, clock_start, clock_end, extent=extent)
+        return report(pings, window=window, spec=WINDOW_SPEC, persist=persist)
+    partials = ClockPartials(pings, parse_clock(clock_start), parse_clock(clock_end), extent)
+    base = restrict(pings, window=partials.window).select(*OBSERVATION_COLUMNS)
+    return Report(base, WINDOW_SPEC, False, partials)
 
 
 def days_report(
