@@ -343,14 +343,80 @@ def test_shards_of_odd_rows_and_hot_texts(make_docs, odd_docs, no_docs):
     assert out.columns == [*odd_docs.columns, "shard", "slot"] and out.count() == odd_docs.count()
 
 
-def test_ring_moves_little_when_a_shard_joins():
-    """Without bounds, one more shard takes keys only into itself."""
-    keys = np.random.default_rng(4).integers(-(2**63), 2**63 - 1, 5000)
-    size = np.full(5000, 10)
-    before, after = sharding.Walk(24).place(keys, size)[0], sharding.Walk(25).place(keys, size)[0]
-    del before, after  # owners by order differ; the walk itself covers every shard once
-    _, walk = sharding.ring(24)
+def test_ring_moves_keys_only_into_a_shard_that_joins():
+    """Without bounds: about one key in 25 moves, and all of them to the new shard."""
+    points, walk = sharding.ring(24)
     assert (np.sort(walk, axis=1) == np.arange(24)).all()
+    more, _ = sharding.ring(25)
+    assert set(points.tolist()) < set(more.tolist()) and len(more) - len(points) == sharding.POINTS
+    keys = np.random.default_rng(4).integers(-(2**63), 2**63 - 1, 50_000)
+    before, after = (sharding.Walk(n).place(keys, np.full(len(keys), 10))[0] for n in (24, 25))
+    moved = before != after
+    assert 0.02 < moved.mean() < 0.06 and set(after[moved].tolist()) == {24}
+
+
+def key_table(spark, docs):
+    """(keys, their row sizes, their bytes) as the plan of ``docs`` sees them."""
+    keyed = sharding.with_keys(docs.select("doc_id", "text"))
+    walk, split = sharding.plan(keyed)
+    rows = sharding.ring_keys(keyed, split).groupBy("_key", "_size").agg(F.sum("_size").alias("b")).collect()
+    return keyed, walk, *(np.array([r[i] for r in rows]) for i in range(3))
+
+
+def plain_walk(keys, sizes, held, shards, slack=sharding.SLACK):
+    """The rounds of the walk as loops over single keys."""
+    points, steps = sharding.ring(shards)
+    points = points.tolist()
+    total, largest = sum(held), max(held)
+    load, out, r = [0] * shards, {}, 0
+    waiting = list(range(len(keys)))
+    while waiting:
+        more = min(largest, max(1, total / shards * slack) * 2 ** ((r - shards) // 2)) if r >= shards else 0
+        bound = total / shards * (1 + slack) + more
+        bits = (8, 20, 34, 48)[min(r // shards, 3)]
+        asked: dict = {}
+        for i in waiting:
+            key = keys[i] % 2**64
+            start = next((j for j, p in enumerate(points) if p >= key), 0)
+            place = ((511 - min(int(8 * math.log2(sizes[i])), 511)) << bits) + (key >> 8) % 2**bits
+            asked.setdefault(int(steps[start][r % shards]), {}).setdefault(place, []).append(i)
+        waiting = []
+        for shard, places in asked.items():
+            closed = False
+            for place in sorted(places):
+                some = places[place]
+                closed = closed or load[shard] + sum(held[i] for i in some) > bound
+                if closed:
+                    waiting += some
+                else:
+                    load[shard] += sum(held[i] for i in some)
+                    out.update(dict.fromkeys(some, shard))
+        r += 1
+    return out, load
+
+
+def test_the_walk_equals_a_plain_one(spark, make_docs):
+    r = random.Random(7)
+    rows = [(i, "x" * int(10 ** r.uniform(0, 3)), None, None) for i in range(600)]
+    rows += [(1000 + i, "one text", None, None) for i in range(3000)]
+    _, walk, keys, sizes, held = key_table(spark, make_docs(rows))
+    got, done = walk.place(keys, sizes)
+    want, load = plain_walk(keys.tolist(), sizes.tolist(), held.tolist(), 24)
+    assert done.all() and got.tolist() == [want[i] for i in range(len(keys))]
+    assert max(load) <= sum(held) / 24 * (1 + sharding.SLACK) + max(held)
+
+
+def test_bounded_ring_moves_little_and_stays_even(spark):
+    """One more shard lowers the bound, so full shards shed some keys besides those it takes."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    keyed, walk, keys, sizes, held = key_table(spark, docs)
+    before, _ = walk.place(keys, sizes)
+    load = np.bincount(before, weights=held, minlength=24)
+    limit = held.sum() / 24 * (1 + sharding.SLACK) + held.max()
+    assert load.max() <= limit and load.max() <= 1.01 * load.mean()
+    after, _ = sharding.plan(keyed, 25)[0].place(keys, sizes)
+    moved = held[before != after].sum() / held.sum()
+    assert moved < 0.10 and len(walk.limits) <= 48
 
 
 # ------------------------------------------------------------- op8 and op9 classifiers
