@@ -12,7 +12,10 @@ NAMES = sorted(queries.queries())
 
 
 def test_every_operator_and_the_pipeline_are_registered():
-    assert {n.split("_")[0] for n in NAMES} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
+    import __spark_entry__
+
+    assert {n.split("_")[0] for n in NAMES} == {f"op{i}" for i in range(1, 14)}
+    assert set(__spark_entry__.queries()) == {*__spark_entry__.ping_queries(), *NAMES, "pipeline"}
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))

@@ -8,7 +8,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-import corpus_pipeline
 from transitlens.llm import (
     decontaminate, jaccard, langid, mixing, negatives, periodic, quality, secrets, sharding, tokens, topk, toxicity,
     vamana,
@@ -87,7 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_jaccard_join, op7_ring_shards, op8_toxicity, op9_quality, op10_decontamination,
         op11_hard_negatives, op12_graph_search, op13_periodic_runs,
     )
-    return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in every}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -192,5 +191,4 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL expresses. The others hold a trained model, a
     tokenizer's merges, a seeded draw or a CRC; their tests compare them with brute force,
     the library itself or held-out labels."""
-    known = {"op1_exact_topk": _TOPK, "op6_jaccard_join": _JACCARD, "op10_decontamination": _LEAKS, "op11_hard_negatives": _NEGATIVES}
-    return known | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op1_exact_topk": _TOPK, "op6_jaccard_join": _JACCARD, "op10_decontamination": _LEAKS, "op11_hard_negatives": _NEGATIVES}
