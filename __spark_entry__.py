@@ -15,6 +15,7 @@ library.
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 from collections.abc import Callable
@@ -57,12 +58,20 @@ from transitlens.schema import PING_COLUMNS  # noqa: E402
 from transitlens.session import scratch_path  # noqa: E402
 from transitlens.sources.text import read_raw  # noqa: E402
 
-try:
-    from transitlens.llm import queries as _llm
-except ModuleNotFoundError as missing:  # the subpackage, or its pipeline module, was left out
-    if missing.name not in ("transitlens.llm", "corpus_pipeline"):
-        raise
-    _llm = None
+
+def _if_there(name: str):
+    """A module, or None where it or its package was left out."""
+    try:
+        return importlib.import_module(name)
+    except ModuleNotFoundError as missing:
+        if missing.name != name and not name.startswith(f"{missing.name}."):
+            raise
+        return None
+
+
+# the training-data operators, and the pipeline made of them, may each be left out
+_llm = _if_there("transitlens.llm.queries")
+_pipeline = _if_there("corpus_pipeline") if _llm else None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -174,7 +183,7 @@ def _clock_stats(p: DataFrame) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every registered query; each takes (spark, sf_dir)."""
-    return ping_queries() | (_llm.queries() if _llm else {})
+    return ping_queries() | (_llm.queries() if _llm else {}) | ({"pipeline": _pipeline.run} if _pipeline else {})
 
 
 def ping_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -354,7 +363,10 @@ _WINDOW_REPORT_OBS = (("exact", _EXACT), ("fast", _FAST_WINDOW))
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for every query that SQL expresses (same column names and rounding)."""
-    return ping_oracle_sql() | (_llm.oracle_sql() if _llm else {})
+    known = ping_oracle_sql() | (_llm.oracle_sql() if _llm else {})
+    if _pipeline and _pipeline.ORACLE_SQL:
+        known["pipeline"] = _pipeline.ORACLE_SQL
+    return known
 
 
 def ping_oracle_sql() -> dict[str, str]:
