@@ -42,6 +42,7 @@ from transitlens import (  # noqa: E402
     faster_than,
     full_report,
     line_mean,
+    load_day_folders,
     load_event_pings,
     load_partitioned,
     load_pings,
@@ -195,6 +196,7 @@ def ping_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "outlier_filter": lambda spark, d: drop_outliers(_event_pings(spark, d, clean=False)),
         "box_filter": _with_pings(lambda p: _rows(restrict(p, box=BOX))),
         "window_filter": _with_pings(lambda p: _rows(restrict(p, window=WINDOW))),
+        "window_day_folders": lambda spark, d: load_day_folders(spark, _raw_text(spark, d), WINDOW),
         "box_window_filter": _with_pings(lambda p: _rows(restrict(p, box=BOX, window=WINDOW))),
         "line_mean_box": _with_pings(lambda p: line_mean(p, box=BOX), rounded=True),
         "line_mean_window": _with_pings(lambda p: line_mean(p, window=WINDOW), rounded=True),
@@ -382,6 +384,7 @@ def ping_oracle_sql() -> dict[str, str]:
         "outlier_filter": _with() + "SELECT * FROM pings WHERE speed <= CAST(120 AS DOUBLE)",
         "box_filter": _with() + _where(_BOX_SQL),
         "window_filter": _with() + _where(_WINDOW_SQL),
+        "window_day_folders": _with() + _where(_WINDOW_SQL),
         "box_window_filter": _with() + _where(_BOX_SQL, _WINDOW_SQL),
         "line_mean_box": _line_mean(_BOX_SQL),
         "line_mean_window": _line_mean(_WINDOW_SQL),

@@ -37,6 +37,7 @@ from transitlens.plans import (
 from transitlens.schema import PING_SCHEMA, RAW_SCHEMA
 from transitlens.sources import (
     day_paths,
+    load_day_folders,
     load_event_pings,
     load_partitioned,
     load_pings,
@@ -66,6 +67,7 @@ __all__ = [
     "faster_than",
     "full_report",
     "line_mean",
+    "load_day_folders",
     "load_event_pings",
     "load_partitioned",
     "load_pings",

@@ -8,6 +8,7 @@ from transitlens.sources.text import (
     clean,
     day_paths,
     line_expr,
+    load_day_folders,
     load_pings,
     parse_lines,
     read_raw,
@@ -22,6 +23,7 @@ __all__ = [
     "clean",
     "day_paths",
     "line_expr",
+    "load_day_folders",
     "load_event_pings",
     "load_partitioned",
     "load_pings",

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from transitlens.functions.columns import compose_datetime
 from transitlens.functions.predicates import TimeWindow, outlier_condition
@@ -23,6 +23,8 @@ from transitlens.schema import (
     TIME_FORMAT,
 )
 
+DAY_FOLDER = "day"  # name of the folders of write_day_files
+
 # Besides decimal numbers, these spellings are numbers in a speed or a position.
 # ``Infinity`` and ``NaN`` may carry a sign and blanks around them; the short forms stand as they
 # are. Any other word is no number (null). Both readers follow this one rule.
@@ -159,6 +161,24 @@ def load_pings(
     return clean(read_raw(spark, paths), max_speed)
 
 
+def load_day_folders(
+    spark: SparkSession, base: str, window: TimeWindow | None = None, max_speed: float = MAX_PLAUSIBLE_SPEED
+) -> DataFrame:
+    """Pings of the day folders ``base/day=YYYY-MM-DD/`` (as :func:`write_day_files` makes them),
+    all of them or those inside ``window``.
+
+    The folders are partitions: a window reads only the folders of days that it can touch, however
+    many there are. That trusts a folder's name to be the day of its rows, which holds for folders
+    written by this library; for others use :func:`load_pings` and a restriction.
+    """
+    schema = T.StructType([*RAW_SCHEMA.fields, T.StructField(DAY_FOLDER, T.DateType(), True)])
+    raw = spark.read.options(**CSV_OPTIONS).option("basePath", base).schema(schema).csv(base)
+    if window is not None:
+        raw = raw.where(window.partition_condition(DAY_FOLDER))
+    pings = clean(raw, max_speed)
+    return pings if window is None else pings.where(window.condition())
+
+
 def line_expr() -> Column:
     """The raw text line of a ping-table row.
 
@@ -202,6 +222,6 @@ def write_day_files(pings: DataFrame, base: str, mode: str = "errorifexists") ->
     ``day=__HIVE_DEFAULT_PARTITION__``.
     """
     pings.select(
-        line_expr(), F.date_format(F.col("datetime"), "yyyy-MM-dd").alias("day")
-    ).write.mode(mode).partitionBy("day").text(base)
+        line_expr(), F.date_format(F.col("datetime"), "yyyy-MM-dd").alias(DAY_FOLDER)
+    ).write.mode(mode).partitionBy(DAY_FOLDER).text(base)
     return base
