@@ -3,32 +3,42 @@
 For each language a suffix automaton holds every substring of a sample of its labelled text.
 A text is parsed against it: the longest match from here is a phrase, and the next one starts
 behind it. Text of the same language needs few, long phrases; the language that needs the
-fewest phrases, times the logarithm of its sample's length, wins. Phrases end with words (a word is parsed with the gap before and
-after it), so a text's phrases are the sum over its words and each distinct word is parsed
-once a task, which makes the parse linear and independent of text length.
+fewest phrases, times the logarithm of its sample's length, wins.
+
+Texts are parsed as bytes, A-Z as a-z, words with single gaps; phrases run over gaps. The automata
+become one table of transitions, in which a byte that ends a phrase leads on from the root, and
+many texts advance by a byte at once. A text of more than CHUNK bytes is parsed in chunks, so that
+all lanes are short. A match from a later place never ends earlier, so the phrases of two parses
+that start at different places lie between each other, and a cut adds one phrase at most.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from transitlens.llm import kernels as K
 from transitlens.llm.tables import reach
-from transitlens.llm.wordcache import WordCache, per_text
 
 UNKNOWN = "und"
 #: bound of the labelled sample of a language: rows, and characters held by its automaton
 SAMPLE_ROWS = 64
 SAMPLE_CHARS = 40_000
+#: bound of all samples together: with more than 16 languages each holds an equal part of it, and
+#: the table of transitions stays below some 400 MB
+TOTAL_CHARS = 640_000
+CHUNK = 1024
+_GAP = 0x20
 
 
 class SuffixAutomaton:
     """Recognises every substring of a text."""
 
-    def __init__(self, text: str) -> None:
-        step: list[dict[str, int]] = [{}]
+    def __init__(self, text: str | bytes) -> None:
+        step: list[dict] = [{}]
         link, length = [-1], [0]
         last = 0
         for c in text:
@@ -56,7 +66,7 @@ class SuffixAutomaton:
             last = new
         self.step = step
 
-    def phrases(self, text: str) -> int:
+    def phrases(self, text: str | bytes) -> int:
         """Number of longest-match phrases the text is parsed into. A character that never
         occurs is a phrase of its own."""
         step = self.step
@@ -75,12 +85,83 @@ class SuffixAutomaton:
         return n + (at is not root)
 
 
+_SPOKEN = np.where(K.ALNUM, np.arange(256), _GAP).astype(np.uint8)
+_SPOKEN[0x41:0x5B] += 0x20
+
+
+def spoken(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of texts as they are parsed: words in lower case with single gaps before,
+    between and behind them."""
+    rows = len(offsets) - 1
+    if not rows:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    byte = np.insert(_SPOKEN[data], np.repeat(offsets, np.r_[1, np.full(rows - 1, 2, np.int64), 1]), np.uint8(_GAP))
+    starts = offsets + 2 * np.arange(rows + 1)
+    gap = byte == _GAP
+    keep = np.ones(len(byte), dtype=bool)
+    keep[1:] = ~(gap[1:] & gap[:-1])
+    keep[starts[:-1]] = True
+    return byte[keep], np.r_[0, np.cumsum(keep)][starts]
+
+
 def _tokenised(texts: list[str]) -> str:
-    """Lower-cased words with single gaps, as the parse sees them."""
-    data, offsets = K.buffers(pa.array(texts, pa.string()))
-    _, _, begin, end = K.words(data, offsets, K.ALNUM)
-    raw = data.tobytes()
-    return " ".join(raw[a:b].decode("utf-8", "replace").lower() for a, b in zip(begin, end))
+    """The texts as they are parsed, in one string."""
+    byte, _ = spoken(*K.buffers(pa.array(texts, pa.string())))
+    return byte.tobytes().decode("utf-8", "replace").strip(" ")
+
+
+class Parser:
+    """The automata of several languages as one table of transitions. An entry holds four times
+    the place of the next state's row, and how many phrases end (0 to 2)."""
+
+    def __init__(self, samples: list[bytes]) -> None:
+        used = sorted(set(b"".join(samples)) | {_GAP})
+        self.code = np.full(256, len(used), np.int64)  # the last code: a byte no sample holds
+        self.code[used] = np.arange(len(used))
+        width = len(used) + 1
+        tables, self.roots, rows = [], [], 0
+        for sample in samples:
+            step = SuffixAutomaton(sample).step
+            edges = np.array([(p, c, q) for p, out in enumerate(step) for c, q in out.items()], dtype=np.int64).reshape(-1, 3)
+            to = np.zeros((len(step), width), np.int64)
+            to[edges[:, 0], self.code[edges[:, 1]]] = edges[:, 2]
+            again = to[0].copy()  # from the root; 0 where no match begins
+            ends = to == 0
+            packed = np.where(ends, again[None, :], to)
+            cost = ends * ((np.arange(len(step)) > 0)[:, None] + (again == 0)[None, :].astype(np.int64))
+            tables.append((((packed + rows) * width) * 4 + cost).astype(np.int32))
+            self.roots.append(rows * width)
+            rows += len(step)
+        self.table = np.concatenate(tables).ravel()
+
+    def phrases(self, byte: np.ndarray, offsets: np.ndarray, chunk: int) -> np.ndarray:
+        """Phrases of each text (rows) in each language (columns), parsed in chunks."""
+        size = np.diff(offsets)
+        parts = -(-size // chunk)
+        text = np.repeat(np.arange(len(size)), parts)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        first = offsets[text] + nth * chunk
+        long = np.minimum(offsets[text + 1] - first, chunk)
+        order = np.argsort(-long, kind="stable")  # lanes that are still open come first
+        text, first, long = text[order], first[order], long[order]
+        roots = np.array(self.roots, np.int64)[:, None]
+        place = np.repeat(roots, len(text), axis=1)
+        n = np.zeros(place.shape, np.int64)
+        code = self.code[byte]
+        open_ = np.searchsorted(-long, -np.arange(chunk), side="left")  # lanes longer than a step
+        for step in range(int(long[0]) if len(long) else 0):
+            some = slice(0, int(open_[step]))
+            found = self.table[place[:, some] + code[first[some] + step]]
+            n[:, some] += found & 3
+            place[:, some] = found >> 2
+        n += place != roots
+        return np.stack([np.bincount(text, row, minlength=len(size)) for row in n], axis=1).astype(np.int64)
+
+
+@lru_cache(maxsize=1)
+def _parser(samples: tuple[bytes, ...]) -> Parser:
+    """Built once a worker."""
+    return Parser(list(samples))
 
 
 def _share(parts: list[str], chars: int) -> str:
@@ -117,18 +198,22 @@ def _smallest(pairs: DataFrame, rows: int) -> DataFrame:
 def learn(docs: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
     """Sample text per language: of the rows that may be learnt from and have a language and
     a text, the ``rows`` with the smallest hash of their doc_id for each language, each with
-    an equal share of ``chars`` characters. Only (id, language) pairs are ranked; texts are read for the chosen
-    ids. What reaches the driver is rows * chars characters a language at most."""
+    an equal share of ``chars`` characters (fewer where the languages together would pass
+    TOTAL_CHARS). Only (id, language) pairs are ranked; texts are read for the chosen ids, and
+    cut to four shares each before they reach the driver."""
     able = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     chosen = _smallest(able.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct(), rows)
+    chosen = chosen.withColumn("of", F.count("*").over(Window.partitionBy("lang")))
+    share = F.ceil(F.lit(4 * chars) / F.col("of")).cast("int")
     cut = (
-        able.join(F.broadcast(chosen.select("lang", "doc_id", "r")), ["lang", "doc_id"])  # rows per language
-        .select("lang", "r", F.substring("text", 1, chars).alias("text"))
+        able.join(F.broadcast(chosen.select("lang", "doc_id", "r", "of")), ["lang", "doc_id"])  # rows per language
+        .select("lang", "r", F.substring(F.col("text"), F.lit(1), F.least(share, F.lit(chars))).alias("text"))
         .groupBy("lang", "r").agg(F.max("text").alias("text"))
     )
     texts: dict[str, list[str]] = {}
     for lang, _, text in cut.orderBy("lang", "r").collect():
         texts.setdefault(lang, []).append(text)
+    chars = min(chars, TOTAL_CHARS // max(1, len(texts)))
     return {lang: f" {_share([_tokenised([t]) for t in parts], chars)} " for lang, parts in sorted(texts.items())}
 
 
@@ -138,27 +223,15 @@ def _parse(sample: dict[str, str], carried: tuple[str, ...]):
     # no language is favoured by more labelled text
     cost = np.log2([max(len(t), 2) for t in sample.values()])
 
-    def work_with(automata: list[SuffixAutomaton]):
-        def work(words: list[bytes]) -> np.ndarray:
-            out = np.empty((len(words), len(langs)), np.int32)
-            for i, raw in enumerate(words):
-                word = f" {raw.decode('utf-8', 'replace').lower()} "
-                out[i] = [a.phrases(word) for a in automata]
-            return out
-
-        return work
+    samples = tuple(t.encode() for t in sample.values())
 
     def run(batches):
-        cache = None
         names = np.array([*langs, UNKNOWN], dtype=object)
         for piece in K.slices(batches):
-            if cache is None:
-                cache = WordCache(work_with([SuffixAutomaton(t) for t in sample.values()]), len(langs))
-            data, offsets = K.buffers(piece.column("text"))
-            h, text, begin, end = K.words(data, offsets, K.ALNUM)
+            byte, offsets = spoken(*K.buffers(piece.column("text")))
             rows = piece.num_rows
-            n = per_text(cache.look_up(h, data, begin, end), text, rows)
-            size = np.bincount(text, end - begin, minlength=rows)
+            n = _parser(samples).phrases(byte, offsets, CHUNK)
+            size = np.add.reduceat(byte != _GAP, offsets[:-1], dtype=np.int64)
             fine = piece.column("lettered").to_numpy(zero_copy_only=False) & (size > 0)
             spent = n * cost
             best = spent.argmin(axis=1)  # ties: the first language by code point
@@ -173,8 +246,6 @@ def _parse(sample: dict[str, str], carried: tuple[str, ...]):
                 ],
                 [*carried, "lang_pred", "score", "phrases_per_byte"],
             )
-        del cache
-        K.release()  # the automata
 
     def none(batches):
         for piece in K.slices(batches):
