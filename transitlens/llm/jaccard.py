@@ -27,7 +27,8 @@ against the parity bits, a tile of the bucket at a time, and only those that pas
 Nothing is listed pair by pair in a group of copies, and no link between different sets that
 could join two components is missed.
 
-Nodes are 64-bit set hashes: n distinct sets collide with probability below n**2 / 2**65.
+Shingles and nodes are 64-bit hashes: n distinct ones (shingles of a text, sets of the table)
+collide with probability below n**2 / 2**65.
 """
 
 from __future__ import annotations
@@ -43,14 +44,14 @@ WIDTH = 5
 NUM, DEN = 75, 100
 #: a shingle in at least one of this many distinct documents is common
 COMMON = 200
-_SET_BITS = 49
-_SET_MASK = np.uint64((1 << _SET_BITS) - 1)
 TILE = 4096  # nodes of a bucket that are compared at once
+SMALL = 32  # nodes of a bucket that is compared together with others
 _SEEN = 1 << 18  # nodes a task remembers, to leave out repeats
 
 
 def _sets(piece: pa.RecordBatch, width: int):
-    """(sorted shingles tagged with their row, shingles, first index, size, node) of a slice."""
+    """(row of each shingle, distinct shingles of each row in order, first index, size, node) of
+    a slice."""
     data, offsets = K.buffers(piece.column("text"))
     h, text, _, _ = K.words(data, offsets)
     rows = piece.num_rows
@@ -63,11 +64,18 @@ def _sets(piece: pa.RecordBatch, width: int):
         own, begin = K.shingles(h, text, int(n))
         keep = np.isin(begin, first[few])
         s, row = np.concatenate([s, own[keep]]), np.concatenate([row, text[begin[keep]]])
-    tagged = np.sort((row.astype(np.uint64) << np.uint64(_SET_BITS)) | (s & _SET_MASK))
-    if len(tagged):
-        tagged = tagged[np.r_[True, tagged[1:] != tagged[:-1]]]
-    row = (tagged >> np.uint64(_SET_BITS)).astype(np.int64)
-    s = tagged & _SET_MASK
+    # one sort of whole words: the row, then as many leading bits of the shingle as fit
+    bits = np.uint64(max(1, int(rows - 1).bit_length()))
+    tagged = (row.astype(np.uint64) << (np.uint64(64) - bits)) | (s >> bits)
+    order = np.argsort(tagged)
+    tagged, own = tagged[order], s[order]
+    if ((tagged[1:] == tagged[:-1]) & (own[1:] != own[:-1])).any():  # told apart by later bits
+        order = np.lexsort((s, row))
+        own = s[order]
+    row, s = row[order], own
+    if len(s):
+        new = np.r_[True, (row[1:] != row[:-1]) | (s[1:] != s[:-1])]
+        row, s = row[new], s[new]
     first, size = K.first_words(row, rows)
     node = np.zeros(rows, dtype=np.uint64)
     full = np.flatnonzero(size)
@@ -257,27 +265,53 @@ def _stars(batches):
 
 
 def _fold(bits: np.ndarray, size: int) -> np.ndarray:
-    while len(bits) > size:
-        half = len(bits) // 2
-        bits = bits[:half] ^ bits[half:]
+    """Parity bits in fewer bits: halves are laid over each other. Bits lie along the last axis."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
     return bits
 
 
+class _Bits:
+    """The parity bits of a binary column, in 64-bit words."""
+
+    def __init__(self, column: pa.Array) -> None:
+        kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+        _, ends, data = column.buffers()
+        at = np.frombuffer(ends, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        self.first = (at[:-1] - at[0]) // 8
+        self.size = np.diff(at) // 8
+        self.words = np.frombuffer(whole[at[0] : at[-1]].tobytes(), np.uint64)
+
+    def take(self, rows: np.ndarray, size: int) -> np.ndarray:
+        """The bits of some rows that have ``size`` words each."""
+        return self.words[self.first[rows][:, None] + np.arange(size)]
+
+
+def _distances(x: _Bits, y: _Bits, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distance of row a[i] of ``x`` and row b[i] of ``y``, the longer one folded."""
+    out = np.zeros(len(a), dtype=np.int64)
+    wide, other = x.size[a], y.size[b]
+    for m, n in {*zip(wide.tolist(), other.tolist())}:
+        some = np.flatnonzero((wide == m) & (other == n))
+        step = max(1, (1 << 17) // max(m, n))
+        for lo in range(0, len(some), step):
+            part = some[lo : lo + step]
+            u, v = _fold(x.take(a[part], m), min(m, n)), _fold(y.take(b[part], n), min(m, n))
+            out[part] = np.bitwise_count(u ^ v).sum(axis=1)
+    return out
+
+
 def _hamming(num: int, den: int):
     """Keeps candidate pairs whose parity bits don't rule them out."""
 
     def run(batches):
         for batch in batches:
             a, b, n, m = (batch.column(i).to_numpy() for i in range(4))
-            sa, sb = batch.column(4), batch.column(5)
-            bound = (n + m) * (den - num) // (den + num)
-            ok = np.zeros(len(a), dtype=bool)
-            for i in range(len(a)):
-                x = np.frombuffer(sa[i].as_buffer(), np.uint8)
-                y = np.frombuffer(sb[i].as_buffer(), np.uint8)
-                size = min(len(x), len(y))
-                apart = np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum()
-                ok[i] = apart <= bound[i]
+            every = np.arange(len(a))
+            apart = _distances(_Bits(batch.column(4)), _Bits(batch.column(5)), every, every)
+            ok = apart <= (n + m) * (den - num) // (den + num)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(a[ok], pa.int64()), pa.array(b[ok], pa.int64())], ["a", "b"]
             )
@@ -324,6 +358,22 @@ def _apart(num: int, den: int):
             a, b = node[strip][a], node[b]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
+    def small(batch, starts, count):
+        """The pairs of whole buckets of a few rows each (one tile), all of them at once."""
+        row = np.repeat(starts, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        later = np.repeat(starts + count, count) - row - 1  # rows of the bucket that follow
+        a = np.repeat(row, later)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+        center, node, root, n = (batch.column(i).to_numpy() for i in (1, 4, 5, 6))
+        least, both = np.minimum(n[a], n[b]), n[a] + n[b]
+        ok = (root[a] != root[b]) & (node[a] != node[b]) & (least * den >= (both - least) * num)
+        ok &= (node[a] != center[a]) & (node[b] != center[b])
+        a, b, both = a[ok], b[ok], both[ok]
+        bits = _Bits(batch.column(8))
+        ok = _distances(bits, bits, a, b) <= both * (den - num) // (den + num)
+        a, b = node[a[ok]], node[b[ok]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
     def run(batches):
         held, rows = None, []
         for batch in batches:
@@ -332,7 +382,13 @@ def _apart(num: int, den: int):
             key, center, lo, hi = (batch.column(i).to_numpy() for i in range(4))
             new = np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
             starts = np.r_[np.flatnonzero(new), len(key)]
-            for x, y in zip(starts[:-1], starts[1:]):
+            # buckets of one tile that begin and end inside this batch
+            count = np.diff(starts)
+            few = (count <= SMALL) & (batch.column(9).is_null().to_numpy(zero_copy_only=False)[starts[:-1]])
+            few[[0, -1]] = False
+            if few.any():
+                yield small(batch, starts[:-1][few], count[few])
+            for x, y in zip(starts[:-1][~few], starts[1:][~few]):
                 name = (key[x], center[x], lo[x], hi[x])
                 if held is not None and name != held:
                     yield from pairs(*held, rows)
@@ -341,7 +397,7 @@ def _apart(num: int, den: int):
                 part = batch.slice(x, y - x)
                 rows.append(
                     [part.column(i).to_numpy() for i in range(4, 8)]
-                    + [part.column(8).to_pylist(), [np.asarray(v, np.int64) for v in part.column(9).to_pylist()]]
+                    + [part.column(8).to_pylist(), [np.asarray(v or [], np.int64) for v in part.column(9).to_pylist()]]
                 )
         if held is not None:
             yield from pairs(*held, rows)
@@ -372,14 +428,15 @@ def _verify(num: int, den: int):
     def run(batches):
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            ok = np.zeros(len(a), dtype=bool)
-            for i in range(len(a)):
-                x = batch.column(2)[i].values.to_numpy()
-                y = batch.column(3)[i].values.to_numpy()
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                ok[i] = den * shared >= num * (len(both) - shared)
+            lists = [batch.column(i) for i in (2, 3)]
+            sizes = [np.diff(x.offsets.to_numpy()) for x in lists]
+            values = np.concatenate([x.flatten().to_numpy() for x in lists])
+            pair = np.concatenate([np.repeat(np.arange(len(a)), n) for n in sizes])
+            order = np.lexsort((values, pair))
+            values, pair = values[order], pair[order]
+            same = (values[1:] == values[:-1]) & (pair[1:] == pair[:-1])
+            shared = np.bincount(pair[1:][same], minlength=len(a))
+            ok = den * shared >= num * (sizes[0] + sizes[1] - shared)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(a[ok], pa.int64()), pa.array(b[ok], pa.int64())], ["a", "b"]
             )
@@ -459,7 +516,7 @@ def link_components(
         .where(F.col("t") * COMMON >= max(total, 3 * COMMON))
         .select("s")
     )
-    known = np.sort(np.array([r[0] for r in common.collect()], dtype=np.uint64))
+    known = np.sort(np.array([r[0] for r in common.collect()], dtype=np.int64).view(np.uint64))
     items = texts.mapInArrow(_items(width, num, den, known), "key long, node long")
     stars = saved(
         items.repartition("key").sortWithinPartitions("key", "node").mapInArrow(
@@ -504,7 +561,7 @@ def link_components(
         placed.groupBy("key", "center")
         .agg(F.count("*").alias("rows"), F.min("root").alias("r0"), F.max("root").alias("r1"))
         .where("r0 <> r1 AND rows > 2")
-        .select("key", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
+        .select("key", "rows", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
     )
     open_ = saved(placed.join(several, "key"), "open")
     if not open_.isEmpty():
@@ -515,7 +572,7 @@ def link_components(
         )
         tiled = tiled.join(detail, "node").select(
             "key", "center", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"),
-            "node", "root", "n", "tile", "sketch", "keys",
+            "node", "root", "n", "tile", "sketch", F.when(F.col("rows") > SMALL, F.col("keys")).alias("keys"),
         )
         cross = (
             tiled.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
@@ -551,7 +608,8 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     # a null doc_id sorts last: (is null, id, hash)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = rows.groupBy("component").agg(F.min(rank).alias("best"), F.count("*").alias("rows"))
-    several = rows.join(best.where("rows > 1"), "component")
+    # a table of its own, so that the join may split the rows of a large component
+    several = rows.join(saved(best.where("rows > 1"), "largest"), "component")
     gone = several.where(~(rank.eqNullSafe(F.col("best")))).select("doc_id", "text_hash").distinct()
     repeats = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     tagged = docs.select(
