@@ -18,7 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from transitlens.llm.kernels import lists
+from transitlens.llm import grid
+from transitlens.llm.negatives import minable
 from transitlens.llm.tables import reach, saved
 
 K_BEST = 5
@@ -29,12 +30,10 @@ _EXACT = 1 << 53
 
 
 def quantised(vector: Column, factor: int = 256) -> Column:
-    """floor(factor * x) of every component, as double; null for a vector that is null or
-    holds a null, NaN or infinite component."""
-    wide = F.transform(vector, lambda x: F.floor(x.cast("double") * factor))
-    # NaN and infinities are told by x - x, which is 0 for a finite number alone
-    fine = F.forall(vector, lambda x: F.coalesce((x - x) == 0, F.lit(False)))
-    return F.when(vector.isNotNull() & fine, wide)
+    """floor(factor * x) of every component, as long; null for a vector that is null, holds a
+    null, NaN or infinite component, or whose length reaches 2**31 (so that scores always fit a
+    long)."""
+    return minable(vector, factor)
 
 
 def _pack(rows: int):
@@ -75,10 +74,10 @@ def _pack(rows: int):
 
 
 def _scores(queries: np.ndarray, vecs: np.ndarray) -> np.ndarray:
-    """All inner products, exact: in doubles where no sum can pass 2**53, else in integers
-    (which must stay below 2**63)."""
-    dim = queries.shape[1]
-    largest = dim * float(np.abs(queries).max(initial=0)) * float(np.abs(vecs).max(initial=0))
+    """All inner products, exact: in doubles where no sum can pass 2**53, else in integers. By
+    Cauchy and Schwarz the lengths bound every score, which must stay below 2**63."""
+    length = lambda x: float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1).max(initial=0)))
+    largest = length(queries) * length(vecs) * (1 + 1e-9)
     if largest < _EXACT:
         return (queries.astype(np.float64) @ vecs.astype(np.float64).T).astype(np.int64)
     if largest >= 2.0**63:
@@ -166,6 +165,7 @@ def exact_top_k(
     most = fine.agg(F.max(norm(F.col("vec")))).first()[0] or 0.0
     asked = saved(asked.withColumn("bound", F.ceil(norm(F.col("vec")) * most * 1.000001) + 1), "asked")
     parts = max(1, -(-asked.count() // query_block))
+    cells = grid.parts(blocks)
     state = asked.select(
         F.col("vec_id").alias("query_id"),
         F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("qb"),
@@ -177,7 +177,8 @@ def exact_top_k(
     )
 
     def joined(state: DataFrame) -> DataFrame:
-        """Every candidate block with every query block of its vector length."""
+        """Every candidate block with every query block of its vector length, in a grid: no task
+        gets all the candidates of a query block."""
         packed = state.groupBy("qb", F.size("vec").alias("dim")).agg(
             F.collect_list(F.struct("query_id", "lo", "span", "width", "need", "vec")).alias("q")
         )  # about query_block queries each
@@ -186,8 +187,7 @@ def exact_top_k(
             F.col("q.span").alias("span"), F.col("q.width").alias("width"), F.col("q.need").alias("need"),
             F.flatten("q.vec").alias("flat"),
         ).mapInArrow(_flat, "qb long, dim int, qids array<long>, lo array<long>, span array<long>, width array<long>, need array<long>, qvecs binary")
-        spread = blocks.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-        return spread.join(packed, ["qb", "dim"])
+        return grid.meet(blocks, packed, cells, parts)
 
     def refine(state: DataFrame, counts: DataFrame) -> DataFrame:
         w = Window.partitionBy("query_id").orderBy(F.desc("bin"))
