@@ -70,6 +70,19 @@ def test_suffix_automaton_parses_longest_matches():
         assert langid.SuffixAutomaton(text).phrases(query) == want
 
 
+@pytest.mark.parametrize("rows", [0, 3, 100_000])
+def test_bitmap_holds_every_hash_and_grows_with_them(spark, rows):
+    from transitlens.llm import tables
+
+    held = spark.range(rows).select(F.xxhash64("id").alias("h")).union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    some = tables.bitmap(held, F.col("h"))
+    h = np.array([r.h for r in held.where("h IS NOT NULL").collect()], dtype=np.int64)
+    assert some.bits == max(20, (16 * rows).bit_length())
+    assert some.has(h.view(np.uint64)).all()
+    others = np.random.default_rng(1).integers(0, 2**63, 20_000).astype(np.uint64) * np.uint64(2)
+    assert some.has(others).mean() < 0.1
+
+
 # ---------------------------------------------------------------------------- op1 top-k
 
 
@@ -102,6 +115,31 @@ def test_topk_empty(spark):
     assert topk.exact_top_k(df, F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_large_components_and_many_blocks(spark, monkeypatch):
+    """Scores near the end of a long are exact, longer vectors take no part; the grid of several
+    query blocks and candidate parts is joined without a broadcast."""
+    from transitlens.llm import grid
+
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
+    monkeypatch.setattr(grid.parts, "__defaults__", (2,))
+    r = random.Random(9)
+    big = float(1 << 21)
+    vecs = [(i, [r.choice([-1, 1]) * big, r.uniform(-big, big), float(i)]) for i in range(300)]
+    vecs += [(350, [1e17, 0.0, 0.0]), (351, [1.7e308, 0.0, 0.0]), (400, [8e6, 2e5, 0.0])]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    quant = df.select("vec_id", topk.quantised(F.col("embedding")).alias("vec"))
+    rows = [(r.vec_id, r.vec) for r in quant.collect()]
+    assert [i for i, v in rows if v is None] == [350, 351]
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        got = topk.exact_top_k(quant, F.col("vec_id") % 50 == 0, query_block=2)
+        assert rows_of(got, "query_id", "rank", "vec_id", "score") == brute_topk(rows, 5)
+    finally:
+        spark.conf.set(limit, before)
+
+
 # ------------------------------------------------------------------------- op2 secrets
 
 

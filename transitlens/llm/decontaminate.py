@@ -8,9 +8,9 @@ before the join. The shingle's place in the window gives the one start in the do
 can match (positional bound), and the window must fit between the text's ends (length bound).
 Candidates are verified word by word over the item-sized window.
 
-One pass reads the texts. A fixed-size bitmap of all item shingles (2 MB, whatever the size of
-the benchmark) leaves out the words that no item has; what remains is counted and joined by
-shuffles, so neither table has to fit anywhere.
+One pass reads the texts. A bitmap of all item shingles (sized by their number, 16 MB at most)
+leaves out the words that no item has; what remains is counted and joined by shuffles, so neither
+table has to fit anywhere.
 """
 
 from __future__ import annotations

@@ -205,16 +205,15 @@ def lists(values: np.ndarray, counts: np.ndarray, kind) -> pa.ListArray:
 
 
 class Bitmap:
-    """A fixed-size set of 64-bit hashes that may report members it does not hold; used to
+    """A set of 64-bit hashes in 2**bits bits that may report members it does not hold; used to
     leave rows out before an exact join, never to decide."""
 
-    BITS = 24
-
     def __init__(self, packed: np.ndarray) -> None:
         self.packed = packed
+        self.bits = (8 * len(packed)).bit_length() - 1
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes.astype(np.uint64) >> _U(64 - self.BITS)
+        at = hashes.astype(np.uint64) >> _U(64 - self.bits)
         return (self.packed[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & np.uint8(1) == 1
 
 

@@ -1,10 +1,11 @@
-"""Helpers on DataFrames: saved tables, fixed-size membership maps, joins that move few rows."""
+"""Helpers on DataFrames: saved tables, membership maps of bounded size."""
 
 from __future__ import annotations
 
 import os
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from transitlens.llm.kernels import Bitmap
@@ -12,6 +13,7 @@ from transitlens.session import scratch_path
 
 _ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CELL = 15  # bits of a position that one row of a map holds
+MAP_BITS = (20, 27)  # least and largest size of a map, as powers of two
 
 
 def reach(spark: SparkSession) -> None:
@@ -39,19 +41,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _cells(batches):
+    """The bits of a cell as bytes."""
+    for batch in batches:
+        lists = batch.column(1)
+        ends = lists.offsets.to_numpy()
+        low = lists.flatten().to_numpy()
+        packed = []
+        for lo, hi in zip(ends[:-1] - ends[0], ends[1:] - ends[0]):
+            bits = np.zeros(1 << _CELL, dtype=np.uint8)
+            bits[low[lo:hi]] = 1
+            packed.append(np.packbits(bits, bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["cell", "bits"])
+
+
 def bitmap(df: DataFrame, hashed: Column) -> Bitmap:
-    """The map of all values of a 64-bit hash column. At most 2**24 bits (2 MB) reach the
-    driver, whatever the number of rows."""
-    at = F.shiftrightunsigned(hashed, 64 - Bitmap.BITS)
+    """The map of all values of a 64-bit hash column. Its size follows from the number of rows,
+    16 bits or more each up to MAP_BITS[1]; with more rows it leaves fewer rows out. The bits are
+    packed on the executors; 2**MAP_BITS[1] bits (16 MB) at most reach the driver."""
+    least, most = MAP_BITS
+    rows = df.select(hashed.alias("h")).where(F.col("h").isNotNull())
+    bits = min(most, max(least, (16 * rows.count()).bit_length()))
+    at = F.shiftrightunsigned("h", 64 - bits)
     cells = (
-        df.select(at.alias("at"))
-        .where(F.col("at").isNotNull())
+        rows.select(at.alias("at"))
         .groupBy(F.shiftright("at", _CELL).alias("cell"))
         .agg(F.collect_set(F.col("at").bitwiseAND((1 << _CELL) - 1).cast("int")).alias("low"))
+        .mapInArrow(_cells, "cell long, bits binary")
     )
-    packed = np.zeros((1 << Bitmap.BITS) // 8, dtype=np.uint8)
-    for cell, low in cells.collect():
-        pos = (cell << _CELL) + np.asarray(low, dtype=np.int64)
-        np.bitwise_or.at(packed, pos >> 3, (np.uint8(1) << (pos & 7)).astype(np.uint8))
+    packed = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    width = (1 << _CELL) // 8
+    for cell, held in cells.collect():
+        packed[cell * width : (cell + 1) * width] = np.frombuffer(held, np.uint8)
     return Bitmap(packed)
-
