@@ -13,7 +13,7 @@ from transitlens.session import scratch_path
 
 _ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CELL = 15  # bits of a position that one row of a map holds
-MAP_BITS = (20, 27)  # least and largest size of a map, as powers of two
+MAP_BITS = (24, 27)  # least and largest size of a map, as powers of two
 
 
 def reach(spark: SparkSession) -> None:
