@@ -139,11 +139,12 @@ def day_is_known(df: DataFrame) -> bool:
     if relation is None or SERVICE_DATE not in list(relation.relation().partitionSchema().fieldNames()):
         return False
 
-    def ids(output) -> dict[str, str]:
-        names = (output.apply(i) for i in range(output.size()))
-        return {a.name(): a.exprId().toString() for a in names if a.name() in (SERVICE_DATE, "datetime")}
+    def ids(output) -> set[str]:
+        """name#id of the two columns; one call for the whole list, since each costs a round trip."""
+        return set(_DAY_COLUMNS.findall(output.mkString(",")))
 
-    return ids(df._jdf.queryExecution().analyzed().output()) == ids(relation.output())
+    known = ids(relation.output())
+    return len(known) == 2 and ids(df._jdf.queryExecution().analyzed().output()) == known
 
 
 def _one_file_relation(df: DataFrame):
@@ -155,6 +156,7 @@ def _one_file_relation(df: DataFrame):
     return leaf if leaf.relation().getClass().getSimpleName() == "HadoopFsRelation" else None
 
 
+_DAY_COLUMNS = re.compile(rf"(?:^|,)((?:{SERVICE_DATE}|datetime)#[0-9]+)(?=,|$)")
 _DAY_FOLDER = re.compile(rf"{SERVICE_DATE}=([^/\s,)]+)")
 
 
