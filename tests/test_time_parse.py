@@ -36,6 +36,12 @@ def test_equals_the_formatter(spark, texts):
     df = spark.createDataFrame([(t.replace("\\n", "\n"),) for t in [*texts, ""]] + [(None,)], "t string")
     rows = df.select("t", parse_datetime(F.col("t")).cast("string").alias("a"), formatter(F.col("t")).cast("string").alias("b")).collect()
     assert [r.a for r in rows] == [r.b for r in rows]
+    # the same from two columns, cut at any place that leaves a blank between them
+    two = df.where("t IS NULL OR t LIKE '% %'").select(
+        compose_datetime(F.expr("substring(t, 1, locate(' ', t) - 1)"), F.expr("substring(t, locate(' ', t) + 1)")).cast("string").alias("a"),
+        formatter(F.col("t")).cast("string").alias("b"),
+    ).collect()
+    assert [r.a for r in two] == [r.b for r in two]
 
 
 @pytest.mark.parametrize("zone", ["UTC", "America/Sao_Paulo", "Asia/Kathmandu"])

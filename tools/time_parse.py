@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import Column, functions as F  # noqa: E402
 
-from transitlens.functions.columns import DATETIME_FORMAT, ntz_literal, parse_datetime  # noqa: E402
+from transitlens.functions.columns import DATETIME_FORMAT, compose_datetime, ntz_literal, parse_datetime  # noqa: E402
 from transitlens.session import local_session  # noqa: E402
 
 
@@ -48,7 +48,17 @@ def by_mapped_digits(text: Column) -> Column:
     return F.when(shape, F.when(second < 60, made)).otherwise(two_parses(text))
 
 
-FORMS = {"none": lambda t: t, "two_parses": two_parses, "one_parse": one_parse, "by_digits": by_digits, "by_mapped_digits": by_mapped_digits, "library": parse_datetime}
+def joined(text: Column) -> Column:
+    """A date and a time column, joined for the formatter."""
+    return two_parses(F.concat(F.col("date"), F.lit(" "), F.col("time")))
+
+
+def composed(text: Column) -> Column:
+    """A date and a time column, taken apart where they are."""
+    return compose_datetime(F.col("date"), F.col("time"))
+
+
+FORMS = {"none": lambda t: t, "two_parses": two_parses, "one_parse": one_parse, "by_digits": by_digits, "by_mapped_digits": by_mapped_digits, "library": parse_datetime, "joined": joined, "composed": composed}
 
 
 def main(rows: int) -> None:
@@ -58,7 +68,8 @@ def main(rows: int) -> None:
     text = F.date_format(stamp, DATETIME_FORMAT)
     bad = F.when(F.col("id") % 97 == 0, F.lit("13-45-2014 00:00:00")).otherwise(text)
     path = f"{spark.sparkContext.getCheckpointDir()}/time-parse"
-    spark.range(rows).select(bad.alias("text")).write.parquet(path)
+    parts = [F.split_part(F.col("text"), F.lit(" "), F.lit(i)).alias(name) for i, name in ((1, "date"), (2, "time"))]
+    spark.range(rows).select(bad.alias("text")).select("text", *parts).write.parquet(path)
     table = spark.read.parquet(path)
     times: dict[str, list[float]] = {name: [] for name in FORMS}
     for _ in range(5):
