@@ -313,12 +313,13 @@ def test_components_of_odd_rows(odd_docs, no_docs):
     assert jaccard.one_of_each(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("seed,common", [(1, 200), (2, 200), (3, 4)])
-def test_components_of_mutated_groups(make_docs, monkeypatch, seed, common):
+@pytest.mark.parametrize("seed,common,few", [(1, 200, 1024), (2, 200, 4), (3, 4, 4)])
+def test_components_of_mutated_groups(make_docs, monkeypatch, seed, common, few):
     """Groups of near copies around the threshold, a passage that many documents share, and
     one large group whose members are far from each other."""
     monkeypatch.setattr(jaccard, "COMMON", common)
     monkeypatch.setattr(jaccard, "TILE", 16)
+    monkeypatch.setattr(jaccard, "FEW", few)
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
     passage = [word() for _ in range(25)]
@@ -341,6 +342,41 @@ def test_components_of_mutated_groups(make_docs, monkeypatch, seed, common):
     check_components(make_docs([(i, " ".join(w), None, None) for i, w in enumerate(texts)]))
 
 
+@pytest.mark.parametrize("looks", [0, 1, 2])
+def test_crowded_buckets_list_the_nearest_pairs_first(make_docs, monkeypatch, looks):
+    """A large group of near copies, many of them too far from each other to link: the components
+    are the same however often the nearest pairs go first."""
+    monkeypatch.setattr(jaccard, "FEW", 2)
+    monkeypatch.setattr(jaccard, "LOOKS", looks)
+    monkeypatch.setattr(jaccard, "TILE", 64)
+    named, save = [], jaccard.saved
+
+    def noted(df, name):
+        out = save(df, name)
+        if name == "cross":
+            named.append(out.where("key IS NOT NULL AND a IS NULL").count())
+        return out
+
+    monkeypatch.setattr(jaccard, "saved", noted)
+    r = random.Random(looks)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    base, texts = [word() for _ in range(120)], []
+    for i in range(160):
+        w = list(base)
+        for at in r.sample(range(120), 1 + i % 4):
+            w[at] = word()
+        texts.append(w)
+    check_components(make_docs([(i, " ".join(w), None, None) for i, w in enumerate(texts)]))
+    assert len(named) <= looks + 1 and (looks == 0) == (named[0] == 0)
+
+
+def test_nearest_rows_of_each_name():
+    far = np.array([3, 1, 1, 9, 2])
+    assert jaccard._nearest(far, np.array([0, 0, 0, 1, 1])).tolist() == [1, 4]
+    assert jaccard._nearest(far, np.array([0, 1, 0, 1, 1]), np.array([5, 5, 5, 6, 5])).tolist() == [1, 2, 3]
+    assert jaccard._nearest(far[:0], far[:0]).tolist() == []
+
+
 def test_connected_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = jaccard.connected(spark.createDataFrame(links, "a long, b long"))

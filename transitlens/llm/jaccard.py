@@ -24,6 +24,9 @@ any fixed subset of the shingles, and sets left with too few fall back to single
 Equal sets are one node. A bucket's nodes are first held against its smallest node only. Where a
 bucket's nodes are then still in several components, all pairs between components are held
 against the parity bits, a tile of the bucket at a time, and only those that pass are listed.
+Where more than FEW pass in a strip of a tile, as in a large group of near copies, the nearest
+pairs go first: one for each node, and of these one for each two components. The bucket is then
+looked at again with the components they made, LOOKS times before all that is left is listed.
 Nothing is listed pair by pair in a group of copies, and no link between different sets that
 could join two components is missed.
 
@@ -46,6 +49,8 @@ NUM, DEN = 75, 100
 COMMON = 200
 TILE = 4096  # nodes of a bucket that are compared at once
 SMALL = 32  # nodes of a bucket that is compared together with others
+FEW = 1024  # pairs of a strip that are all listed at once
+LOOKS = 2  # times that the nearest pairs of a crowded bucket go first
 _SEEN = 1 << 18  # nodes a task remembers, to leave out repeats
 
 
@@ -319,11 +324,27 @@ def _hamming(num: int, den: int):
     return run
 
 
-def _apart(num: int, den: int):
+def _nearest(far: np.ndarray, *names: np.ndarray) -> np.ndarray:
+    """The row of least ``far`` (the first of them) of each combination of names."""
+    order = np.lexsort((far, *names))
+    new = np.arange(len(far)) == 0
+    for x in names:
+        new[1:] |= x[order][1:] != x[order][:-1]
+    return np.sort(order[new])
+
+
+def _apart(num: int, den: int, few: int | None):
     """From rows sorted by bucket and pair of tiles: the pairs of nodes of different components
     whose sizes and parity bits allow a link. A pair that shares a smaller bucket is left to
     that one where the 64 most frequent smaller buckets of the tiles show it. Holds the rows of
-    two tiles, and compares a strip of them at a time."""
+    two tiles, and compares a strip of them at a time.
+
+    A strip with more than ``few`` pairs (None: never) gives the nearest ones only. Such a bucket
+    is named in a row of its own, with a key and no pair."""
+
+    def found(a, b):
+        a, b = pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), a, b], ["key", "a", "b"])
 
     def pairs(key, center, lo, hi, rows):
         node, root, n, tile = (np.concatenate([r[i] for r in rows]) for i in range(4))
@@ -338,6 +359,7 @@ def _apart(num: int, den: int):
         place = np.full(len(names), 64)
         top = np.argsort(-times, kind="stable")[:64]
         place[top] = np.arange(len(top))
+        crowded = False
         seen = np.zeros(len(node), np.uint64)
         told = place[back] < 64
         np.bitwise_or.at(seen, owner[told], np.uint64(1) << place[back][told].astype(np.uint64))
@@ -355,8 +377,16 @@ def _apart(num: int, den: int):
             ok &= node[strip][:, None] < node[None, :] if lo == hi else (tile[strip] == lo)[:, None] & (tile == hi)[None, :]
             ok &= (node[strip] != center)[:, None] & (node != center)[None, :]
             a, b = np.nonzero(ok)
-            a, b = node[strip][a], node[b]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            if few is not None and len(a) > few:
+                near = _nearest(far[a, b], b)
+                x, y = root[strip][a[near]], root[b[near]]
+                near = near[_nearest(far[a[near], b[near]], np.minimum(x, y), np.maximum(x, y))]
+                crowded |= len(near) < len(a)
+                a, b = a[near], b[near]
+            yield found(node[strip][a], node[b])
+        if crowded:
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), none, none], ["key", "a", "b"])
 
     def small(batch, starts, count):
         """The pairs of whole buckets of a few rows each (one tile), all of them at once."""
@@ -371,8 +401,7 @@ def _apart(num: int, den: int):
         a, b, both = a[ok], b[ok], both[ok]
         bits = _Bits(batch.column(8))
         ok = _distances(bits, bits, a, b) <= both * (den - num) // (den + num)
-        a, b = node[a[ok]], node[b[ok]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        return found(node[a[ok]], node[b[ok]])
 
     def run(batches):
         held, rows = None, []
@@ -474,7 +503,8 @@ def connected(links: DataFrame) -> DataFrame:
     before = None
     while (now := mark(edges)) != before:
         before = now
-        edges = saved(star(star(edges, large=True), large=False), "links")
+        half = saved(star(edges, large=True), "links")  # read twice by the next step
+        edges = saved(star(half, large=False), "links")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -536,9 +566,8 @@ def link_components(
             .mapInArrow(_hamming(num, den), "a long, b long")
         )
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose whole sets are similar enough."""
-        near = saved(pairs, "near")
+    def linked(near: DataFrame) -> DataFrame:
+        """The pairs (a, b) of a saved table whose whole sets are similar enough."""
         wanted = bitmap(near.select(F.explode(F.array("a", "b")).alias("x")).distinct(), F.col("x"))
         sets = texts.mapInArrow(_whole(width, wanted), "node long, members array<long>")
         sets = saved(sets.groupBy("node").agg(F.first("members").alias("members")), "members")
@@ -551,20 +580,20 @@ def link_components(
         )
 
     first = stars.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    links = linked(alike(first))
-    roots = connected(links)
+    of = saved(connected(linked(saved(alike(first), "near"))), "roots")
 
     # buckets whose nodes are still in several components: all such pairs, tile by tile
-    of = saved(roots, "roots")
-    placed = stars.join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = (
-        placed.groupBy("key", "center")
-        .agg(F.count("*").alias("rows"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-        .where("r0 <> r1 AND rows > 2")
-        .select("key", "rows", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
-    )
-    open_ = saved(placed.join(several, "key"), "open")
-    if not open_.isEmpty():
+    for look in range(LOOKS + 1):
+        placed = stars.join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = (
+            placed.groupBy("key", "center")
+            .agg(F.count("*").alias("rows"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+            .where("r0 <> r1 AND rows > 2")
+            .select("key", "rows", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
+        )
+        open_ = saved(placed.join(several, "key"), "open")
+        if open_.isEmpty():
+            break
         listed = open_.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # its own buckets
         detail = nodes.select("node", "n", "sketch").join(listed.select("node", F.slice("keys", 1, 64).alias("keys")), "node")
         tiled = open_.withColumn("tile", F.pmod("node", F.col("tiles")).cast("int")).select(
@@ -574,12 +603,18 @@ def link_components(
             "key", "center", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"),
             "node", "root", "n", "tile", "sketch", F.when(F.col("rows") > SMALL, F.col("keys")).alias("keys"),
         )
-        cross = (
+        cross = saved(
             tiled.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-            .mapInArrow(_apart(num, den), "a long, b long")
-            .distinct()
+            .mapInArrow(_apart(num, den, FEW if look < LOOKS else None), "key long, a long, b long")
+            .distinct(),
+            "cross",
         )
-        of = saved(connected(links.union(linked(cross))), "roots")
+        verified = linked(cross.where("a IS NOT NULL").select("a", "b"))
+        of = saved(connected(of.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified)), "roots")
+        again = cross.where("key IS NOT NULL").select("key")
+        if again.isEmpty():
+            break
+        stars = saved(stars.join(again, "key", "left_semi"), "stars")
 
     smallest = nodes.join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = smallest.groupBy("root").agg(F.min("least").alias("component_id"))
