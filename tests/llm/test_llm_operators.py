@@ -295,6 +295,36 @@ def test_mix_caps_small_sources(make_docs, no_docs):
     assert mixing.mixed(docs).count() == 0
 
 
+def test_draws_of_one_source_go_by_ranges_of_shards(spark, monkeypatch):
+    """Every slot of a source belongs to one shard, shards are as full as a fair draw makes them,
+    and ranges of one source are drawn in several tasks."""
+    monkeypatch.setattr(mixing, "_RANGE", 8)
+    monkeypatch.setattr(mixing, "_TASK_SLOTS", 16)
+    goals = spark.createDataFrame([(-5, 6400, 19200), (7, 640, 1280), (9, 64, 0)], "s long, source_size long, due long")
+    drawn = mixing.draws(goals, 320, 3, block=64, shard_slots=5, seed=3)
+    rows = drawn.withColumn("task", F.spark_partition_id()).collect()
+    for s, count in ((-5, 300), (7, 20)):
+        own = sorted((r.shard, r.first, r.slots) for r in rows if r.s == s)
+        assert sum(x[2] for x in own) == count and len({x[0] for x in own}) == len(own)
+        assert [x[1] for x in own] == np.cumsum([0, *(x[2] for x in own)])[:-1].tolist()
+        assert 0 <= own[0][0] and own[-1][0] < 64
+    assert not [r for r in rows if r.s == 9]
+    assert len({r.task for r in rows if r.s == -5}) > 2
+    full = [r.slots for r in rows if r.s == -5]
+    assert len(full) > 55 and max(full) < 16  # 300 slots over 64 shards
+    assert rows_of(drawn, "s", "shard", "first", "slots") == rows_of(
+        mixing.draws(goals.repartition(3), 320, 3, block=64, shard_slots=5, seed=3), "s", "shard", "first", "slots"
+    )
+
+
+def test_ranges_do_not_change_the_takes(make_docs, monkeypatch):
+    docs = make_docs([(i, "a b c " * (1 + i % 90), "en", "xyz"[i % 3]) for i in range(120)])
+    takes = lambda: rows_of(mixing.mix(docs, block=4, shard_slots=3), "doc_id", "taken")
+    whole = takes()
+    monkeypatch.setattr(mixing, "_RANGE", 2)
+    assert takes() == whole
+
+
 # ------------------------------------------------------------------------- op6 Jaccard
 
 

@@ -3,7 +3,9 @@
 The words of a source, document after document in a hashed order, are packed into blocks of
 fixed length. Each source is due a number of slots, enough for its target; how many of them
 each output shard gets is one multinomial draw per source (a multinomial mix of sources per
-shard, given the totals, so the totals are met exactly). A source's slots are numbered through
+shard, given the totals, so the totals are met exactly). It is drawn in two steps, first for
+ranges of shards and then, in tasks of their own, for the shards of a range, which is the same
+distribution. A source's slots are numbered through
 the shards and mapped to blocks by a pseudorandom permutation of the block numbers, a new one
 for each pass over the source. Slots and documents meet in a join on (source, block); the last
 slot of a source is cut where its target is reached.
@@ -32,6 +34,7 @@ _CLASSES = 8  # size classes from a length to its double
 _SCALE_BITS = 24
 _SCALE = 1 << _SCALE_BITS  # a whole copy, in the sums of shares
 _TASK_SLOTS = 1 << 18
+_RANGE = 1 << 12  # output shards whose slots are drawn together
 
 
 def permute(p: np.ndarray, n: np.ndarray, key: np.ndarray, inverse: bool = False) -> np.ndarray:
@@ -108,8 +111,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     )
 
 
-def _draws(block: int, shard_slots: int, seed: int):
-    """Per source and output shard: how many slots, and the number of the first."""
+def _drawn(count: int, widths: np.ndarray, seed: list[int]):
+    """One multinomial draw: the places that got any, the number of the first of each, how many."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    drawn = rng.multinomial(count, widths / widths.sum())
+    some = np.flatnonzero(drawn)
+    return some, (np.cumsum(drawn) - drawn)[some], drawn[some]
+
+
+def _ranges(block: int, shards: int, width: int, seed: int):
+    """Per source and range of ``width`` output shards: how many slots, and the number of the first."""
 
     def run(batches):
         for batch in batches:
@@ -127,20 +138,52 @@ def _draws(block: int, shard_slots: int, seed: int):
                     slots += 1
                 cut = rest - ((slots - 1) * block - (block - short) * (at < slots - 1)) if rest else 0
                 count = passes * n + slots
-                shards = -(-row["all_slots"] // shard_slots)
-                rng = np.random.Generator(np.random.PCG64([seed, source & (2**64 - 1)]))
-                drawn = rng.multinomial(count, np.full(shards, 1.0 / shards))
-                some = np.flatnonzero(drawn)
+                widths = np.diff(np.r_[np.arange(0, shards, width), shards])
+                some, first, slots = _drawn(count, widths, [seed, source & (2**64 - 1)])
                 const = lambda v: pa.array(np.full(len(some), v, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [const(source), pa.array(some), pa.array((np.cumsum(drawn) - drawn)[some]), pa.array(drawn[some]),
+                    [const(source), pa.array(some), pa.array(widths[some]), pa.array(first), pa.array(slots),
                      const(n), const(count), const(cut)],
+                    ["s", "range", "shards", "first", "slots", "n", "count", "cut"],
+                )
+
+    return run
+
+
+def _draws(width: int, seed: int):
+    """The same per source and output shard, each range drawn by itself."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = [seed, row["s"] & (2**64 - 1), row["range"] + 1]
+                some, first, slots = _drawn(row["slots"], np.ones(row["shards"]), at)
+                const = lambda v: pa.array(np.full(len(some), v, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [const(row["s"]), pa.array(some + row["range"] * width), pa.array(first + row["first"]),
+                     pa.array(slots), const(row["n"]), const(row["count"]), const(row["cut"])],
                     ["s", "shard", "first", "slots", "n", "count", "cut"],
                 )
 
     return run
 
 
+def draws(goals: DataFrame, slots: int, sources: int, block: int, shard_slots: int, seed: int) -> DataFrame:
+    """s, shard, first, slots (the slots ``first`` to ``first + slots - 1`` of the source go to
+    this output shard), n (its blocks), count (all its slots), cut (words of the last one, 0 for
+    all). ``goals`` has s, source_size and due, a row for each of ``sources`` sources, which are
+    due ``slots`` slots together. A task draws for _TASK_SLOTS shards or so."""
+    shards = max(1, -(-slots // shard_slots))
+    rows = sources * -(-shards // _RANGE)
+    ranges = goals.select("s", "source_size", "due").mapInArrow(
+        _ranges(block, shards, _RANGE, seed),
+        "s long, range long, shards long, first long, slots long, n long, count long, cut long",
+    )
+    return ranges.repartition(max(1, -(-rows * min(shards, _RANGE) // _TASK_SLOTS)), "s", "range").mapInArrow(
+        _draws(_RANGE, seed), "s long, shard long, first long, slots long, n long, count long, cut long"
+    )
+
+
 def _blocks(seed: int):
     """The block that each slot takes; whole, or cut after some words."""
 
@@ -209,15 +252,11 @@ def mix(
         .select("doc_id", "s", "text_hash", "size", (F.col("offset") + F.col("upto") - F.col("size")).alias("begin")),
         "placed",
     )
-    every = F.sum(F.ceil(F.col("due") / block)).over(Window.partitionBy()).alias("all_slots")
-    draws = goals.select("s", "source_size", "due", every).mapInArrow(
-        _draws(block, shard_slots, seed),
-        "s long, shard long, first long, slots long, n long, count long, cut long",
-    )
-    due = goals.agg(F.sum(F.ceil(F.col("due") / block))).first()[0] or 0
+    due, sources = goals.agg(F.sum(F.ceil(F.col("due") / block)), F.count(F.lit(1))).first()
+    due = due or 0
     # a count of its own, since the few rows here stand for many slots
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-due // _TASK_SLOTS))
-    slots = draws.repartition(parts, "s", "shard").select(
+    slots = draws(goals, due, sources, block, shard_slots, seed).repartition(parts, "s", "shard").select(
         "s", F.explode(F.sequence("first", F.col("first") + F.col("slots") - 1)).alias("slot"), "n", "count", "cut"
     )
     taken = (
