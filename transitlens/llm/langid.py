@@ -119,20 +119,27 @@ class Parser:
         self.code = np.full(256, len(used), np.int64)  # the last code: a byte no sample holds
         self.code[used] = np.arange(len(used))
         width = len(used) + 1
-        tables, self.roots, rows = [], [], 0
+        # an automaton has fewer than two states a byte; the rows that stay empty take no memory
+        table = np.empty((sum(2 * len(sample) + 1 for sample in samples), width), np.int32)
+        self.roots, rows = [], 0
         for sample in samples:
             step = SuffixAutomaton(sample).step
-            edges = np.array([(p, c, q) for p, out in enumerate(step) for c, q in out.items()], dtype=np.int64).reshape(-1, 3)
-            to = np.zeros((len(step), width), np.int64)
-            to[edges[:, 0], self.code[edges[:, 1]]] = edges[:, 2]
-            again = to[0].copy()  # from the root; 0 where no match begins
-            ends = to == 0
-            packed = np.where(ends, again[None, :], to)
-            cost = ends * ((np.arange(len(step)) > 0)[:, None] + (again == 0)[None, :].astype(np.int64))
-            tables.append((((packed + rows) * width) * 4 + cost).astype(np.int32))
+            degree = [len(out) for out in step]
+            edges = sum(degree)
+            p = np.repeat(np.arange(len(step)), degree)
+            c = self.code[np.fromiter((c for out in step for c in out), np.int64, edges)]
+            q = np.fromiter((q for out in step for q in out.values()), np.int64, edges)
+            again = np.zeros(width, np.int64)  # from the root; 0 where no match begins
+            again[c[p == 0]] = q[p == 0]
+            part = table[rows : rows + len(step)]
+            part[:] = (again + rows) * width * 4 + 1 + (again == 0)
+            part[0] = rows * width * 4 + 1
+            part[p, c] = (q + rows) * width * 4
             self.roots.append(rows * width)
             rows += len(step)
-        self.table = np.concatenate(tables).ravel()
+            del step, degree, p, c, q
+            K.release()
+        self.table = table[:rows].ravel()
 
     def phrases(self, byte: np.ndarray, offsets: np.ndarray, chunk: int) -> np.ndarray:
         """Phrases of each text (rows) in each language (columns), parsed in chunks."""
