@@ -102,3 +102,45 @@ def test_relaxed_pruning_keeps_diverse_edges():
     near = (x[0] @ x[1:].T)[None, :].astype(np.float32)
     assert graph._pruned(np.array([0]), some, near, 1.0)[0].tolist() == [1, 5, -1, -1]
     assert graph._pruned(np.array([0]), some, near, 1.25)[0].tolist() == [1, 5, 3, -1]
+
+
+def test_graphs_stay_where_they_are(spark, monkeypatch):
+    """A graph is a file, no exchange holds one, and a task gives a query's best rows once for all its graphs."""
+    r = random.Random(3)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, vec array<double>")
+    met, rounds = vamana.met, []
+
+    def seen(graphs, block, tasks, *a):
+        rounds.append((graphs, met(graphs, block, 1, *a)))  # a task for all graphs
+        return met(graphs, block, tasks, *a)
+
+    monkeypatch.setattr(vamana, "met", seen)
+    assert found(df, k=2, shard_rows=30, query_block=5, search_beam=90) == plain(rows, 2)
+    assert len(rounds) >= 3
+    graphs = rounds[0][0].groupBy(F.input_file_name()).count().collect()
+    assert len(graphs) > 10 and {x["count"] for x in graphs} == {1}
+    for _, one in rounds:
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" in plan and "Exchange" not in plan.replace("BroadcastExchange", "")
+    assert sum(one.count() for _, one in rounds) == 12 * 2  # not times the number of graphs
+
+
+def test_packed_vectors_lose_nothing():
+    small = np.array([[0.5, -0.25], [0.1, 0.7]], dtype=np.float32).astype(float)
+    for vecs, size in ((small, 16), (np.array([[0.5, 0.1], [0.25, 1.0]]), 32), (np.array([[0.5, 1e-300]]), 16)):
+        held = vamana._packed(vecs)
+        assert len(held) == size
+        assert (vamana._unpacked(vamana.pa.scalar(held, vamana.pa.binary()), *vecs.shape) == vecs).all()
+
+
+def test_few_graphs_many_queries(spark, monkeypatch):
+    """One graph is read by as many tasks at once as there are blocks of queries."""
+    r = random.Random(5)
+    rows = [(50 * i, [r.gauss(0, 1) for _ in range(3)]) for i in range(30)]
+    rows += [(i, [r.gauss(0, 1) for _ in range(3)]) for i in (50, 50, 100)]  # of a query, but other vectors
+    df = spark.createDataFrame(rows, "vec_id long, vec array<double>")
+    met, tasks = vamana.met, []
+    monkeypatch.setattr(vamana, "met", lambda *a: tasks.append(a) or met(*a))
+    assert found(df, k=3, query_block=2 * 3 * spark.sparkContext.defaultParallelism, search_beam=100) == plain(rows, 3)
+    assert 2 <= len(tasks) <= 15

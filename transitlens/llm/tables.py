@@ -29,11 +29,13 @@ def reach(spark: SparkSession) -> None:
         spark.conf.set(_ARROW_BYTES, "4m")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, per_file: int = 0) -> DataFrame:
     """Write a table into the shared folder of ``spark.checkpoint.dir`` and read it back:
-    cuts the lineage, and survives the loss of any executor."""
+    cuts the lineage, and survives the loss of any executor. ``per_file``: rows of a file at
+    most, for rows of many MB, of which a reader else takes thousands at once; 0: as the session says."""
     path = scratch_path(df.sparkSession, f"llm-{name}")
-    df.write.parquet(path)
+    writer = df.write.option("maxRecordsPerFile", per_file) if per_file else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

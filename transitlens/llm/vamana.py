@@ -8,11 +8,16 @@ neighbour than to the node, so the kept edges point in different directions. Eac
 backwards too; a node with too many edges is pruned again. A query walks the graph of every shard
 with a beam, and the candidates in the beam are scored exactly on the original vectors.
 
-All steps work on a batch of nodes or queries at once, with numpy.
+All steps work on a batch of nodes or queries at once, with numpy. A graph is written once, to a
+file of its own, and is not moved again: the queries go round in blocks of bounded size, each block
+broadcast to the tasks that read the graphs, and a task keeps the best rows of a query over all its
+graphs. So what is shuffled doesn't grow with graphs x queries.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -27,7 +32,9 @@ DEGREE = 32
 BEAM = 64  # of an insertion
 SEARCH_BEAM = 160  # of a query
 ALPHA = 1.2
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 16384  # queries that go round together, about
+QUERY_BYTES = 8 << 20  # of their vectors, about
+TASKS = 64  # that read the graphs in a round, at most, or three for each core if these are more
 _WIDTH = 4  # nodes of a beam opened at once
 _SLACK = 1.3  # edges a node may gather before it is pruned again
 _BATCH = 256
@@ -100,10 +107,11 @@ class Graph:
         at = np.full((rows, beam), -1, np.int32)
         near = np.full((rows, beam), -np.inf, np.float32)
         opened = np.zeros((rows, beam), dtype=bool)
-        seen = np.zeros(rows * n, dtype=bool)
+        unseen = np.ones(rows * n, dtype=bool)
         at[:, 0] = self.entry
         near[:, 0] = queries @ x[self.entry]
-        seen[np.arange(rows) * n + self.entry] = True
+        base = np.arange(rows) * n
+        unseen[base + self.entry] = False
         while True:
             closed = (at >= 0) & ~opened
             some = np.flatnonzero(closed.any(axis=1))
@@ -115,14 +123,19 @@ class Graph:
             r, c = np.nonzero(chosen)
             opened[some[r], c] = True
             around = self.edges[at[some[r], c]]
-            flat = (some[r].astype(np.int64) * n)[:, None] + around
+            flat = base[some[r]][:, None] + around
             flat = flat[around >= 0]
-            flat = np.unique(flat[~seen[flat]])
-            if not len(flat):
+            flat = np.sort(flat[unseen.take(flat)])
+            flat = flat[np.diff(flat, prepend=-1) > 0]
+            unseen[flat] = False
+            q = np.repeat(np.arange(rows), np.diff(np.searchsorted(flat, np.r_[base, rows * n])))
+            node = (flat - base[q]).astype(np.int32)
+            sim = np.einsum("ij,ij->i", queries.take(q, axis=0), x.take(node, axis=0))
+            # the others would be cut off below: of equals, those in the beam stay
+            better = sim > near[q, -1]
+            if not better.any():
                 continue
-            seen[flat] = True
-            q, node = flat // n, (flat % n).astype(np.int32)
-            sim = np.einsum("ij,ij->i", queries[q], x[node])
+            q, node, sim = q[better], node[better], sim[better]
             first = np.searchsorted(q, some)
             slot = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
             wide = int(slot.max()) + 1
@@ -213,6 +226,18 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
 
 
+def _packed(vecs: np.ndarray) -> bytes:
+    """The bytes of a matrix, as 32-bit numbers where that loses nothing."""
+    small = vecs.astype(np.float32)
+    return (small if np.array_equal(small, vecs) else vecs).tobytes()
+
+
+def _unpacked(held: pa.BinaryScalar, rows: int, dim: int) -> np.ndarray:
+    buffer = held.as_buffer()
+    kind = np.float32 if buffer.size == 4 * rows * dim else np.float64
+    return np.frombuffer(buffer, kind).reshape(rows, dim).astype(np.float64)
+
+
 _INDEX = pa.schema(
     [("shard", pa.int64()), ("dim", pa.int32()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())),
      ("vecs", pa.binary()), ("edges", pa.binary()), ("entry", pa.int32())]
@@ -234,7 +259,7 @@ def _built(degree: int, beam: int, alpha: float):
                     "dim": dim,
                     "ids": ids.flatten().to_pylist(),
                     "counts": np.diff(ids.offsets.to_numpy()).tolist(),
-                    "vecs": vecs.tobytes(),
+                    "vecs": _packed(vecs),
                     "edges": graph.edges.tobytes(),
                     "entry": graph.entry,
                 }
@@ -252,13 +277,25 @@ def _asked(batches):
             vecs = np.asarray([x["vec"] for x in row["q"]], dtype=np.float64).reshape(len(row["q"]), row["dim"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([row["qb"]], pa.int64()), pa.array([row["dim"]], pa.int32()),
-                 pa.array([[x["vec_id"] for x in row["q"]]], pa.list_(pa.int64())), pa.array([scaled(vecs).tobytes()], pa.binary())],
+                 pa.array([[x["vec_id"] for x in row["q"]]], pa.list_(pa.int64())), pa.array([_packed(scaled(vecs))], pa.binary())],
                 ["qb", "dim", "qids", "qvecs"],
             )
 
 
+def _best(r: np.ndarray, vec_id: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best rows of every query ``r``; ties go to smaller ids."""
+    order = np.lexsort((vec_id, -score, r))
+    r, vec_id, score = r[order], vec_id[order], score[order]
+    best = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[best], vec_id[best], score[best]
+
+
 def _searched(k: int, beam: int, degree: int):
+    """A ``mapInArrow`` function: the ``k`` best rows of every query over all graphs of a partition.
+    A row has a graph and a block of queries; a block's number and vector length are its key."""
+
     def run(batches):
+        held: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(j)[i] for j, n in enumerate(batch.schema.names)}
@@ -266,10 +303,11 @@ def _searched(k: int, beam: int, degree: int):
                 qid = row["qids"].values.to_numpy()
                 ids, count = row["ids"].values.to_numpy(), row["counts"].values.to_numpy()
                 first = np.cumsum(count) - count
-                q = np.frombuffer(row["qvecs"].as_buffer(), np.float64).reshape(len(qid), dim)
-                vecs = np.frombuffer(row["vecs"].as_buffer(), np.float64).reshape(len(count), dim)
+                q, vecs = _unpacked(row["qvecs"], len(qid), dim), _unpacked(row["vecs"], len(count), dim)
                 edges = np.frombuffer(row["edges"].as_buffer(), np.int32).reshape(len(count), -1)
                 graph = Graph(_unit(vecs), edges, row["entry"].as_py(), degree)
+                key = row["qb"].as_py(), dim
+                parts = [held[key][1:]] if key in held else []
                 for lo in range(0, len(qid), _BATCH):
                     own, some = qid[lo : lo + _BATCH], q[lo : lo + _BATCH]
                     at, _ = graph.search(_unit(some), beam)
@@ -281,14 +319,13 @@ def _searched(k: int, beam: int, degree: int):
                     r, score, begin = np.repeat(r, many), np.repeat(score, many), np.repeat(first[node], many)
                     vec_id = ids[begin + np.arange(len(begin)) - np.repeat(np.cumsum(many) - many, many)]
                     other = vec_id != own[r]
-                    r, score, vec_id = r[other], score[other], vec_id[other]
-                    order = np.lexsort((vec_id, -score, r))
-                    r, score, vec_id = r[order], score[order], vec_id[order]
-                    best = np.arange(len(r)) - np.searchsorted(r, r) < k
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(own[r[best]]), pa.array(vec_id[best]), pa.array(score[best])],
-                        ["query_id", "vec_id", "score"],
-                    )
+                    r, vec_id, score = _best(r[other], vec_id[other], score[other], k)
+                    parts.append((lo + r, vec_id, score))
+                held[key] = np.array(qid), *_best(*(np.concatenate(x) for x in zip(*parts)), k)
+        for qid, r, vec_id, score in held.values():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(qid[r]), pa.array(vec_id), pa.array(score)], ["query_id", "vec_id", "score"]
+            )
 
     return run
 
@@ -315,8 +352,18 @@ def index(
     dealt = nodes.select(
         F.pmod(F.xxhash64("vec"), F.lit(shards)).alias("shard"), "dim", "vec", "ids", F.get("ids", F.lit(0)).alias("first")
     )
+    # one or a few graphs a task, whatever the rows weigh: building takes long
+    dealt = dealt.repartition(min(2 * shards, 4096), "shard", "dim")
     built = dealt.groupBy("shard", "dim").applyInArrow(_built(degree, beam, alpha), _INDEX_SQL)
-    return saved(built, "graphs"), shards
+    return saved(built, "graphs", per_file=1), shards
+
+
+def met(graphs: DataFrame, block: DataFrame, tasks: int, k: int, beam: int, degree: int = DEGREE) -> DataFrame:
+    """query_id, vec_id, score: for each of ``tasks`` tasks at most, the ``k`` best rows that its
+    graphs find for every query of a block. The block is broadcast, the graphs stay where they are."""
+    return graphs.coalesce(tasks).join(F.broadcast(block), "dim").mapInArrow(
+        _searched(k, beam, degree), "query_id long, vec_id long, score double"
+    )
 
 
 def nearest(
@@ -348,19 +395,25 @@ def nearest(
     asked = saved(fine.where(query).groupBy("vec_id").agg(F.min("vec").alias("vec")), "asked")
     # a query skips its own id alone, so k + 1 ids of equal vectors are all it may need
     graphs, shards = index(fine.distinct(), k + 1, shard_rows, degree, beam, alpha)
-    n_blocks, qb = grid.block_number(asked.count(), F.col("vec_id"), query_block)
-    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    blocks = (
+    n, dim = asked.agg(F.count("*"), F.max(F.size("vec"))).first()
+    cores = 3 * spark.sparkContext.defaultParallelism
+    # where graphs are few, several smaller blocks go round at once, so that all cores have work
+    at_once = max(1, cores // shards)
+    most = min(query_block, QUERY_BYTES // (8 * (dim or 1))) // at_once
+    n_blocks, qb = grid.block_number(n, F.col("vec_id"), max(1, min(most, max(_BATCH, -(-n // at_once)))))
+    blocks = saved(
         asked.groupBy(qb.alias("qb"), F.size("vec").alias("dim"))
         .agg(F.collect_list(F.struct("vec_id", "vec")).alias("q"))  # about query_block queries
-        .mapInArrow(_asked, "qb long, dim int, qids array<long>, qvecs binary")
-        .withColumn("shard", numbers(shards))
-    )
-    # a graph a task: the pairs are few and large
-    pairs = graphs.withColumn("qb", numbers(n_blocks)).repartition(min(shards * n_blocks, 4096), "qb", "shard", "dim")
-    found = pairs.join(blocks, ["qb", "shard", "dim"]).mapInArrow(
-        _searched(k, search_beam, degree), "query_id long, vec_id long, score double"
+        .mapInArrow(_asked, "qb long, dim int, qids array<long>, qvecs binary"),
+        "blocks",
+        per_file=1,
     )
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", "vec_id", "score")
+    rounds = []
+    for lo in range(0, n_blocks, at_once):
+        some = [blocks.where(F.col("qb") == i) for i in range(lo, min(n_blocks, lo + at_once))]
+        found = reduce(DataFrame.unionAll, [met(graphs, x, max(TASKS, cores), k, search_beam, degree) for x in some])
+        best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        # one round after the other: memory holds the blocks of one
+        rounds.append(saved(best.select("query_id", "rank", "vec_id", "score"), "found"))
+    return reduce(DataFrame.unionAll, rounds)
